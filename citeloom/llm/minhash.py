@@ -7,8 +7,8 @@ a similarity corrected for chance agreement of low bits, and pairs clearly below
 the threshold go; the rest is confirmed on the full sets in integers.
 
 No bucket is expanded into all its pairs while links can still merge it: in star
-rounds each bucket offers links to one leader only, components are contracted,
-and just pairs of a bucket whose components still differ are compared. This is
+rounds each document is compared with one leader of its buckets, components are
+contracted, and in the end just pairs of a bucket whose components still differ. This is
 exact with regard to the bands: a pair that shares a band is either compared or
 already in one component. Bands are chosen so that a pair at the threshold shares
 none with probability below ``miss``.
@@ -135,27 +135,52 @@ def _sketches(docs: DataFrame, key: str, text: str, k: int, rows: int, bands: in
     return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, n_shingles long, d1 long, d2 long, bands array<long>, sig array<long>")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
-    """Those pairs (a, b) whose sets satisfy whole * |a and b| >= part * |a or b|."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, part: int, whole: int, block: int = 256) -> DataFrame:
+    """Links (a, b) among pairs (a, b, ca, cb, g) whose sets satisfy whole * |a and b| >= part * |a or b|.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keep = []
-            for x, y in zip(pdf["sa"], pdf["sb"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if whole * min(len(x), len(y)) < part * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                both = int((x[at] == y).sum())
-                keep.append(whole * both >= part * (len(x) + len(y) - both))
-            yield pdf.loc[keep, ["a", "b"]]
-
-    a, b = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, k: int = 3, part: int = 85, whole: int = 100, key: str = "doc_id", text: str = "text", star_rounds: int = 4) -> DataFrame:
+    ca and cb are the ends' components so far: pairs that links found in the same
+    task have joined already are skipped. g is any label equal for all pairs of an
+    id: pairs of one g meet in blocks of about `block` ids (small g's share one),
+    so that a set travels once for each pair of blocks and not for each pair.
+    """
+    ids = pairs.select(F.col("a").alias("id"), "g").union(pairs.select(F.col("b").alias("id"), "g")).distinct()
+    sizes = ids.groupBy("g").agg(F.ceil(F.count("*") / block).cast("long").alias("pieces"))
+    shared = max(1, ids.count() // block)
+
+    def place(i: str):
+        return F.when(F.col("pieces") == 1, F.pmod(F.xxhash64("g"), F.lit(shared))).otherwise(F.xxhash64("g", F.pmod(F.xxhash64(i), F.col("pieces"))))
+
+    placed = pairs.join(sizes, "g").select("a", "b", "ca", "cb", place("a").alias("pa"), place("b").alias("pb"))
+    placed = placed.select("a", "b", "ca", "cb", F.least("pa", "pb").alias("k1"), F.greatest("pa", "pb").alias("k2"))
+    need = placed.select("k1", "k2", F.col("a").alias("id")).union(placed.select("k1", "k2", F.col("b").alias("id"))).distinct().join(sets, "id").toDF("id", "j1", "j2", "set")
+
+    def run(have: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
+        of = {i: np.frombuffer(x, np.uint64) for i, x in zip(have["id"], have["set"], strict=True)}
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := root.get(x, x)) != x:
+                root[x] = root.get(y, y)
+                x = y
+            return x
+
+        keep = []
+        for a, b, ca, cb in zip(todo["a"], todo["b"], todo["ca"], todo["cb"], strict=True):
+            ra, rb = find(ca), find(cb)
+            x, y = of.get(a), of.get(b)
+            if ra == rb or x is None or y is None or whole * min(len(x), len(y)) < part * max(len(x), len(y)):
+                continue
+            at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+            both = int((x[at] == y).sum())
+            if whole * both >= part * (len(x) + len(y) - both):
+                keep.append((a, b))
+                root[ra] = rb
+        return pd.DataFrame(keep, columns=["a", "b"], dtype="int64")
+
+    return need.groupBy("j1", "j2").cogroup(placed.groupBy("k1", "k2")).applyInPandas(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, k: int = 3, part: int = 85, whole: int = 100, key: str = "doc_id", text: str = "text", star_rounds: int = 5) -> DataFrame:
     """key, n_shingles, component_id, kept for every row; links are Jaccard >= part / whole of k-word shingle sets.
 
     A text without words (or null) has the empty set and stands alone. Equal sets
@@ -171,7 +196,6 @@ def near_duplicates(docs: DataFrame, k: int = 3, part: int = 85, whole: int = 10
     mine = every.filter(f"n_shingles > 0 and `{key}` is not null")
     classes = checkpointed(mine.groupBy("d1", "d2").agg(F.min(key).alias("rep")))
     reps = mine.join(classes, (mine.d1 == classes.d1) & (mine.d2 == classes.d2) & (mine[key] == classes.rep)).select("rep", "bands", "sig").dropDuplicates(["rep"])
-    sigs = reps.select(F.col("rep").alias("id"), "sig")
     shared = reps.select(F.col("rep").alias("id"), F.explode("bands").alias("band"))
     sized = shared.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     buckets = checkpointed(shared.join(sized, "band"))
@@ -184,13 +208,11 @@ def near_duplicates(docs: DataFrame, k: int = 3, part: int = 85, whole: int = 10
             yield pd.DataFrame({"id": pdf["id"], "set": [shingle_set(t, k).tobytes() for t in pdf[text]]})
 
     sets = checkpointed(wanted.mapInPandas(to_sets, "id long, set binary"))
-    sigs = checkpointed(sigs.join(ids, "id"))
+    sigs = checkpointed(reps.select(F.col("rep").alias("id"), "sig", "bands").join(ids, "id"))
     least = threshold - slack(threshold, count)
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        a, b = sigs.select(F.col("id").alias("a"), F.col("sig").alias("ga")), sigs.select(F.col("id").alias("b"), F.col("sig").alias("gb"))
-        near = pairs.join(b, "b").join(a, "a").filter(estimated_similarity(F.col("ga"), F.col("gb"), count) >= least)
-        return checkpointed(_confirmed(near.select("a", "b"), sets, part, whole).distinct())
+    def order(turn: int, i: str) -> Column:
+        return F.xxhash64(F.lit(turn), i) if turn else F.col(i)
 
     links: DataFrame | None = None
     labels: DataFrame | None = None
@@ -199,20 +221,34 @@ def near_duplicates(docs: DataFrame, k: int = 3, part: int = 85, whole: int = 10
             now = buckets.withColumn("c", F.col("id"))
         else:
             now = buckets.join(labels.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-        mixed = now.groupBy("band").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("x"), "id", "c") if turn else F.struct(F.col("id").alias("x"), "id", "c")).alias("lead")).filter("c0 <> c1")
-        mixed = checkpointed(mixed.select("band", "n", F.col("lead.id").alias("lead"), F.col("lead.c").alias("lead_c")))
-        todo = mixed.agg(F.count("*"), F.sum("n"), F.sum(F.col("n").cast("double") * F.col("n"))).first()
+        parts = now.groupBy("band", "c").agg(F.count("*").alias("m"), F.min(F.struct(order(turn, "id").alias("x"), "id")).alias("lead"))
+        mixed = parts.groupBy("band").agg(
+            F.sum("m").alias("n"), F.count("*").alias("cs"), F.sum(F.col("m").cast("double") * F.col("m")).alias("mm"), F.min(F.struct("lead.x", "lead.id", "c")).alias("lead")
+        ).filter("cs > 1")
+        mixed = checkpointed(mixed.select("band", "n", "mm", F.col("lead.id").alias("lead"), F.col("lead.c").alias("lead_c")))
+        todo = mixed.agg(F.count("*"), F.sum("n"), F.sum((F.col("n").cast("double") * F.col("n") - F.col("mm")) / 2)).first()
         if not todo[0]:
             break
-        now = now.join(mixed, "band")
-        # Pairs of all members only where that is little more than pairs with a leader.
-        final = turn == star_rounds or (turn and todo[2] <= 8 * todo[1])
+        # Pairs of all members with unlike components only where they are hardly more than pairs with a leader.
+        final = turn == star_rounds or (turn and todo[2] <= 2 * todo[1])
+        now = now.join(mixed.select("band", "lead", "lead_c"), "band")
         if final:
-            other = now.select("band", F.col("id").alias("b"), F.col("c").alias("cb"))
-            pairs = now.select("band", F.col("id").alias("a"), "c").join(other, "band").filter("a < b and c <> cb")
+            full = now.join(sigs, "id").select("band", "id", "c", "sig", "bands")
+            one, two = full.toDF("band", "a", "ca", "ga", "ba"), full.toDF("band", "b", "cb", "gb", "bb")
+            alike = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (estimated_similarity(F.col("ga"), F.col("gb"), count) >= least)
+            # Of the bands that two share, each in a mixed bucket, the first makes the pair.
+            first = F.array_min(F.array_intersect("ba", "bb")) == one["band"]
+            near = one.join(two, (one["band"] == two["band"]) & alike & first).select("a", "b", "ca", "cb")
+            near = checkpointed(near)
+            groups = connected_components(near)
+            near = near.join(groups.withColumnRenamed("id", "a").withColumnRenamed("component", "g"), "a")
         else:
-            pairs = now.filter("c <> lead_c").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"))
-        got = alike(pairs.select("a", "b").distinct())
+            near = now.filter("c <> lead_c").select("id", "c", "lead", "lead_c").distinct()
+            near = near.join(sigs.select("id", "sig"), "id").join(sigs.select(F.col("id").alias("lead"), F.col("sig").alias("lead_sig")), "lead")
+            near = near.filter(estimated_similarity(F.col("sig"), F.col("lead_sig"), count) >= least)
+            near = near.groupBy("id", "c").agg(F.min(F.struct(order(turn, "lead").alias("x"), "lead", "lead_c")).alias("to"))
+            near = near.select(F.col("id").alias("a"), F.col("to.lead").alias("b"), F.col("c").alias("ca"), F.col("to.lead_c").alias("cb"), F.col("to.lead").alias("g"))
+        got = checkpointed(_confirmed(checkpointed(near), sets, part, whole))
         links = got if links is None else links.unionByName(got)
         if not got.isEmpty():
             labels = checkpointed(connected_components(links))
