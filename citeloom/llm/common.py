@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from functools import reduce
@@ -28,7 +29,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="citeloom-"))
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    _taken[0] += 1
+    if _taken[0] % RELEASE_EVERY == 0:
+        release_shuffles(spark)
+    return out
+
+
+#: Iterative operators leave shuffle files of finished rounds behind until the driver collects garbage.
+RELEASE_EVERY = 6
+_taken = [0]
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files and checkpoints that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def doc_fold(doc_id: Column, folds: int) -> Column:

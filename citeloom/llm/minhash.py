@@ -180,7 +180,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, part: int, whole: int, block:
     return need.groupBy("j1", "j2").cogroup(placed.groupBy("k1", "k2")).applyInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, part: int = 85, whole: int = 100, key: str = "doc_id", text: str = "text", star_rounds: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 3, part: int = 85, whole: int = 100, key: str = "doc_id", text: str = "text", star_rounds: int = 3) -> DataFrame:
     """key, n_shingles, component_id, kept for every row; links are Jaccard >= part / whole of k-word shingle sets.
 
     A text without words (or null) has the empty set and stands alone. Equal sets
