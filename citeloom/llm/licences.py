@@ -20,6 +20,7 @@ SPELLINGS = [
     ("licences", "licenses"),
     ("licenced", "licensed"),
     ("sub license", "sublicense"),
+    ("sublicence", "sublicense"),
     ("acknowledgement", "acknowledgment"),
     ("favour", "favor"),
     ("merchantibility", "merchantability"),
