@@ -37,7 +37,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 #: Iterative operators leave shuffle files of finished rounds behind until the driver collects garbage.
-RELEASE_EVERY = 6
+RELEASE_EVERY = 2
 _taken = [0]
 
 

@@ -180,7 +180,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, part: int, whole: int, block:
     return need.groupBy("j1", "j2").cogroup(placed.groupBy("k1", "k2")).applyInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, part: int = 85, whole: int = 100, key: str = "doc_id", text: str = "text", star_rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 3, part: int = 85, whole: int = 100, key: str = "doc_id", text: str = "text", star_rounds: int = 6) -> DataFrame:
     """key, n_shingles, component_id, kept for every row; links are Jaccard >= part / whole of k-word shingle sets.
 
     A text without words (or null) has the empty set and stands alone. Equal sets
@@ -197,8 +197,11 @@ def near_duplicates(docs: DataFrame, k: int = 3, part: int = 85, whole: int = 10
     classes = checkpointed(mine.groupBy("d1", "d2").agg(F.min(key).alias("rep")))
     reps = mine.join(classes, (mine.d1 == classes.d1) & (mine.d2 == classes.d2) & (mine[key] == classes.rep)).select("rep", "bands", "sig").dropDuplicates(["rep"])
     shared = reps.select(F.col("rep").alias("id"), F.explode("bands").alias("band"))
-    sized = shared.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
+    sized = shared.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     buckets = checkpointed(shared.join(sized, "band"))
+    # Who shares bands with many others is the likely original of a group of copies, and leads first.
+    popular = buckets.groupBy("id").agg(F.sum("n").alias("fame"))
+    buckets = checkpointed(buckets.drop("n").join(popular, "id"))
 
     ids = buckets.select("id").distinct()
     wanted = docs.select(F.col(key).cast("long").alias("id"), text).join(ids, "id")
@@ -212,10 +215,11 @@ def near_duplicates(docs: DataFrame, k: int = 3, part: int = 85, whole: int = 10
     least = threshold - slack(threshold, count)
 
     def order(turn: int, i: str) -> Column:
-        return F.xxhash64(F.lit(turn), i) if turn else F.col(i)
+        return F.xxhash64(F.lit(turn), i) if turn > 1 else -F.col("fame")
 
     links: DataFrame | None = None
     labels: DataFrame | None = None
+    settled = 0
     for turn in range(star_rounds + 1):
         if labels is None:
             now = buckets.withColumn("c", F.col("id"))
@@ -225,15 +229,15 @@ def near_duplicates(docs: DataFrame, k: int = 3, part: int = 85, whole: int = 10
         mixed = parts.groupBy("band").agg(
             F.sum("m").alias("n"), F.count("*").alias("cs"), F.sum(F.col("m").cast("double") * F.col("m")).alias("mm"), F.min(F.struct("lead.x", "lead.id", "c")).alias("lead")
         ).filter("cs > 1")
-        mixed = checkpointed(mixed.select("band", "n", "mm", F.col("lead.id").alias("lead"), F.col("lead.c").alias("lead_c")))
+        mixed = checkpointed(mixed.select("band", "n", "mm", F.col("lead.x").alias("lead_x"), F.col("lead.id").alias("lead"), F.col("lead.c").alias("lead_c")))
         todo = mixed.agg(F.count("*"), F.sum("n"), F.sum((F.col("n").cast("double") * F.col("n") - F.col("mm")) / 2)).first()
         if not todo[0]:
             break
         # Pairs of all members with unlike components only where they are hardly more than pairs with a leader.
-        final = turn == star_rounds or (turn and todo[2] <= 2 * todo[1])
-        now = now.join(mixed.select("band", "lead", "lead_c"), "band")
+        final = turn == star_rounds or (turn > 1 and (todo[2] <= 2 * todo[1] or settled < 0.02 * todo[1]))
+        now = now.join(mixed.select("band", "lead", "lead_c", "lead_x"), "band")
         if final:
-            full = now.join(sigs, "id").select("band", "id", "c", "sig", "bands")
+            full = now.select("band", "id", "c").join(sigs, "id").select("band", "id", "c", "sig", "bands")
             one, two = full.toDF("band", "a", "ca", "ga", "ba"), full.toDF("band", "b", "cb", "gb", "bb")
             alike = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (estimated_similarity(F.col("ga"), F.col("gb"), count) >= least)
             # Of the bands that two share, each in a mixed bucket, the first makes the pair.
@@ -243,14 +247,15 @@ def near_duplicates(docs: DataFrame, k: int = 3, part: int = 85, whole: int = 10
             groups = connected_components(near)
             near = near.join(groups.withColumnRenamed("id", "a").withColumnRenamed("component", "g"), "a")
         else:
-            near = now.filter("c <> lead_c").select("id", "c", "lead", "lead_c").distinct()
+            near = now.filter("c <> lead_c").select("id", "c", "lead", "lead_c", "lead_x").distinct()
             near = near.join(sigs.select("id", "sig"), "id").join(sigs.select(F.col("id").alias("lead"), F.col("sig").alias("lead_sig")), "lead")
             near = near.filter(estimated_similarity(F.col("sig"), F.col("lead_sig"), count) >= least)
-            near = near.groupBy("id", "c").agg(F.min(F.struct(order(turn, "lead").alias("x"), "lead", "lead_c")).alias("to"))
+            near = near.groupBy("id", "c").agg(F.min(F.struct("lead_x", "lead", "lead_c")).alias("to"))
             near = near.select(F.col("id").alias("a"), F.col("to.lead").alias("b"), F.col("c").alias("ca"), F.col("to.lead_c").alias("cb"), F.col("to.lead").alias("g"))
         got = checkpointed(_confirmed(checkpointed(near), sets, part, whole))
+        settled = got.count()
         links = got if links is None else links.unionByName(got)
-        if not got.isEmpty():
+        if settled:
             labels = checkpointed(connected_components(links))
         if final:
             break
