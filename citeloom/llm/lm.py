@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import checkpointed, table, words_of
+from citeloom.llm.common import checkpointed, release_shuffles, table, words_of
 
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Discounts and strengths of the pair level and of the unigram level.
@@ -207,6 +207,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
         return pd.DataFrame({"r": pdf["r"], "block": pdf["block"], "c": [pack(total[i]) for i in np.split(place, ends)], "tokens": int(total.sum()), "kinds": int((total > 0).sum())})
 
     words = checkpointed(_answers(packed.select("block", "keys", "seen").mapInPandas(ask_words, "r int, block long, keys binary, seen binary"), sum_words, "c binary, tokens long, kinds long"))
+    release_shuffles(docs.sparkSession)
     stats = words.groupBy("r").agg(F.first("tokens").alias("t"), F.first("kinds").alias("k")).agg(F.sum("t"), F.sum("k")).first()
     total, kinds = int(stats[0] or 0), int(stats[1] or 0)
     with_words = packed.select("block", "held", "lens", "toks", "keys").join(_by_block(words, "wc", ["c"]), "block")
@@ -233,6 +234,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
         return pd.DataFrame({"r": pdf["r"], "block": pdf["block"], "c": [pack(c[i].astype(np.uint32)) for i in np.split(place, ends)], "t": [pack(t[i]) for i in np.split(place, ends)]})
 
     pairs = checkpointed(_answers(with_words.mapInPandas(ask_pairs, "r int, block long, keys binary, seen binary, qc binary, qw binary"), seat_pairs, "c binary, t binary"))
+    release_shuffles(docs.sparkSession)
     with_pairs = with_words.join(_by_block(pairs, "pc", ["c", "t"]), "block")
 
     def ask_tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,17 +245,18 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
                 # Each block accounts for its share of a pair's customers, so that a pair's tables count once.
                 mine = np.where(c > 0, t * seen / np.maximum(c, 1), 0.0)
                 tc, tw, at = np.bincount(context, mine, len(keys)), np.bincount(word, mine, len(keys)), bounds(keys, ranges)
-                yield pd.DataFrame([(r, row.block, pack_keys(keys[a:b]), pack(tc[a:b]), pack(tw[a:b])) for r, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))], columns=["r", "block", "keys", "tc", "tw"])
+                yield pd.DataFrame([(r, row.block, pack_keys(keys[a:b]), pack(tc[a:b].astype(np.float32)), pack(tw[a:b].astype(np.float32))) for r, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))], columns=["r", "block", "keys", "tc", "tw"])
 
     def sum_tables(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
         parts = [unpack_keys(k) for k in pdf["keys"]]
         every, place = np.unique(np.concatenate(parts), return_inverse=True)
-        tc, tw = (np.bincount(place, np.concatenate([unpack(x, np.float64) for x in pdf[n]]), len(every)) for n in ("tc", "tw"))
+        tc, tw = (np.bincount(place, np.concatenate([unpack(x, np.float32) for x in pdf[n]]), len(every)) for n in ("tc", "tw"))
         ends = np.cumsum([len(p) for p in parts])[:-1]
-        return pd.DataFrame({"r": pdf["r"], "block": pdf["block"], "tc": [pack(tc[i]) for i in np.split(place, ends)], "tw": [pack(tw[i]) for i in np.split(place, ends)], "tables": float(tw.sum())})
+        return pd.DataFrame({"r": pdf["r"], "block": pdf["block"], "tc": [pack(tc[i].astype(np.float32)) for i in np.split(place, ends)], "tw": [pack(tw[i].astype(np.float32)) for i in np.split(place, ends)], "tables": float(tw.sum())})
 
     tables = checkpointed(_answers(with_pairs.mapInPandas(ask_tables, "r int, block long, keys binary, tc binary, tw binary"), sum_tables, "tc binary, tw binary, tables double"))
+    release_shuffles(docs.sparkSession)
     all_tables = float(tables.groupBy("r").agg(F.first("tables").alias("t")).agg(F.sum("t")).first()[0] or 0.0)
     last = packed.select("block", "ids", "nulls").join(with_pairs, "block").join(_by_block(tables, "tb", ["tc", "tw"]), "block")
 
@@ -264,7 +267,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
                 c = _joined(row.wc, "c", np.int64)
                 cc = c.copy()
                 cc[np.searchsorted(keys, BEGIN)] = c[np.searchsorted(keys, END)]
-                tc, tw = _joined(row.tb, "tc", np.float64), _joined(row.tb, "tw", np.float64)
+                tc, tw = _joined(row.tb, "tc", np.float32).astype(np.float64), _joined(row.tb, "tw", np.float32).astype(np.float64)
                 p1 = np.where(c > 0, np.maximum(tw - D1, 1e-9), S1 + D1 * kinds) / (S1 + all_tables)
                 cp, tp = _joined(row.pc, "c", np.uint32).astype(np.float64), _joined(row.pc, "t", np.float32).astype(np.float64)
                 up = p1[word]
