@@ -8,7 +8,8 @@ the threshold go; the rest is confirmed on the full sets in integers.
 
 No bucket is expanded into all its pairs while links can still merge it: in star
 rounds each document is compared with one leader of its buckets, components are
-contracted, and in the end just pairs of a bucket whose components still differ. This is
+contracted, and in the end just members of a bucket's group whose components
+still differ are compared, block by block. This is
 exact with regard to the bands: a pair that shares a band is either compared or
 already in one component. Bands are chosen so that a pair at the threshold shares
 none with probability below ``miss``.
@@ -180,7 +181,72 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, part: int, whole: int, block:
     return need.groupBy("j1", "j2").cogroup(placed.groupBy("k1", "k2")).applyInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, part: int = 85, whole: int = 100, key: str = "doc_id", text: str = "text", star_rounds: int = 6) -> DataFrame:
+def _compared(members: DataFrame, count: int, least: float, part: int, whole: int, block: int = 256) -> DataFrame:
+    """Links (a, b) between members (g, id, c, sig, set) of one g and unlike components c.
+
+    Members meet in pairs of blocks of about `block`: a component with that many in
+    its g has blocks of its own, which aren't paired with each other; all others of
+    the g share blocks; small g's share one. Within a task, pairs whose packed low
+    bits are far from alike are passed over, the rest is confirmed on the sets
+    unless links of the same task have joined them already.
+    """
+    sizes = members.groupBy("g", "c").agg(F.count("*").alias("m"))
+    of_g = sizes.groupBy("g").agg(F.sum("m").alias("n"), F.sum(F.when(F.col("m") < block, F.col("m")).otherwise(0)).alias("rest"))
+    total = members.count()
+    placed = members.join(sizes, ["g", "c"]).join(of_g, "g")
+    own = F.col("m") >= block
+    cut = F.greatest(F.lit(1), F.ceil(F.when(own, F.col("m")).otherwise(F.col("rest")) / block).cast("long"))
+    small = F.col("n") <= block
+    shared = F.pmod(F.xxhash64("g"), F.lit(max(1, total // block)))
+    at = F.xxhash64(F.when(own, F.col("c")), F.pmod(F.xxhash64("id"), cut))
+    placed = placed.select(F.when(small, shared).otherwise(F.xxhash64("g")).alias("u"), F.when(small, F.lit(0)).otherwise(at).cast("long").alias("k"), F.when(own & ~small, F.col("c")).alias("pure"), "g", "id", "c", "sig", "set")
+    placed = checkpointed(placed)
+    blocks = placed.select("u", "k", "pure").distinct()
+    one, two = blocks.toDF("u", "k1", "p1"), blocks.toDF("u2", "k2", "p2")
+    pairs = one.join(two, (F.col("u") == F.col("u2")) & (F.col("k1") <= F.col("k2")) & ~F.coalesce(F.col("p1") == F.col("p2"), F.lit(False))).select("u", "k1", "k2")
+    left = placed.join(pairs.withColumn("k", F.col("k1")), ["u", "k"]).withColumn("side", F.lit(0))
+    right = placed.join(pairs.filter("k1 <> k2").withColumn("k", F.col("k2")), ["u", "k"]).withColumn("side", F.lit(1))
+    dealt = left.unionByName(right).select("u", "k1", "k2", "side", "g", "id", "c", "sig", "set")
+    most = count - int((least * (1 - 1 / (1 << LOW_BITS)) + 1 / (1 << LOW_BITS)) * count)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        alone = pdf["k1"].iloc[0] == pdf["k2"].iloc[0]
+        y = pdf if alone else pdf[pdf["side"] == 1]
+        x = pdf if alone else pdf[pdf["side"] == 0]
+        sets = [[np.frombuffer(b, np.uint64) for b in side["set"]] for side in (x, y)]
+        sig = np.stack(y["sig"].to_list()).astype(np.int64).view(np.uint64) if len(y) else np.empty((0, 1), np.uint64)
+        gy, cy, iy = (y[n].to_numpy() for n in ("g", "c", "id"))
+        root: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while (w := root.get(v, v)) != v:
+                root[v] = root.get(w, w)
+                v = w
+            return v
+
+        keep = []
+        for n, (g, c, i, s) in enumerate(zip(x["g"], x["c"], x["id"], x["sig"], strict=True)):
+            d = sig ^ np.asarray(s, np.int64).view(np.uint64)
+            far = np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1)
+            on = (gy == g) & (cy != c) & (far <= most)
+            if alone:
+                on[: n + 1] = False
+            a = sets[0][n]
+            for j in np.flatnonzero(on):
+                ra, rb = find(c), find(cy[j])
+                b = sets[1][j]
+                if ra == rb or whole * min(len(a), len(b)) < part * max(len(a), len(b)):
+                    continue
+                both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+                if whole * both >= part * (len(a) + len(b) - both):
+                    keep.append((i, iy[j]))
+                    root[ra] = rb
+        return pd.DataFrame(keep, columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("u", "k1", "k2").applyInPandas(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, k: int = 3, part: int = 85, whole: int = 100, key: str = "doc_id", text: str = "text", star_rounds: int = 2) -> DataFrame:
     """key, n_shingles, component_id, kept for every row; links are Jaccard >= part / whole of k-word shingle sets.
 
     A text without words (or null) has the empty set and stands alone. Equal sets
@@ -211,11 +277,11 @@ def near_duplicates(docs: DataFrame, k: int = 3, part: int = 85, whole: int = 10
             yield pd.DataFrame({"id": pdf["id"], "set": [shingle_set(t, k).tobytes() for t in pdf[text]]})
 
     sets = checkpointed(wanted.mapInPandas(to_sets, "id long, set binary"))
-    sigs = checkpointed(reps.select(F.col("rep").alias("id"), "sig", "bands").join(ids, "id"))
+    sigs = checkpointed(reps.select(F.col("rep").alias("id"), "sig").join(ids, "id"))
     least = threshold - slack(threshold, count)
 
     def order(turn: int, i: str) -> Column:
-        return F.xxhash64(F.lit(turn), i) if turn > 1 else -F.col("fame")
+        return F.xxhash64(F.lit(turn), i) if turn else -F.col("fame")
 
     links: DataFrame | None = None
     labels: DataFrame | None = None
@@ -227,32 +293,26 @@ def near_duplicates(docs: DataFrame, k: int = 3, part: int = 85, whole: int = 10
             now = buckets.join(labels.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
         parts = now.groupBy("band", "c").agg(F.count("*").alias("m"), F.min(F.struct(order(turn, "id").alias("x"), "id")).alias("lead"))
         mixed = parts.groupBy("band").agg(
-            F.sum("m").alias("n"), F.count("*").alias("cs"), F.sum(F.col("m").cast("double") * F.col("m")).alias("mm"), F.min(F.struct("lead.x", "lead.id", "c")).alias("lead")
+            F.count("*").alias("cs"), F.min(F.struct("lead.x", "lead.id", "c")).alias("lead")
         ).filter("cs > 1")
-        mixed = checkpointed(mixed.select("band", "n", "mm", F.col("lead.x").alias("lead_x"), F.col("lead.id").alias("lead"), F.col("lead.c").alias("lead_c")))
-        todo = mixed.agg(F.count("*"), F.sum("n"), F.sum((F.col("n").cast("double") * F.col("n") - F.col("mm")) / 2)).first()
-        if not todo[0]:
+        mixed = checkpointed(mixed.select("band", F.col("lead.x").alias("lead_x"), F.col("lead.id").alias("lead"), F.col("lead.c").alias("lead_c")))
+        if mixed.isEmpty():
             break
-        # Pairs of all members with unlike components only where they are hardly more than pairs with a leader.
-        final = turn == star_rounds or (turn > 1 and (todo[2] <= 2 * todo[1] or settled < 0.02 * todo[1]))
+        final = turn == star_rounds
         now = now.join(mixed.select("band", "lead", "lead_c", "lead_x"), "band")
         if final:
-            full = now.select("band", "id", "c").join(sigs, "id").select("band", "id", "c", "sig", "bands")
-            one, two = full.toDF("band", "a", "ca", "ga", "ba"), full.toDF("band", "b", "cb", "gb", "bb")
-            alike = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (estimated_similarity(F.col("ga"), F.col("gb"), count) >= least)
-            # Of the bands that two share, each in a mixed bucket, the first makes the pair.
-            first = F.array_min(F.array_intersect("ba", "bb")) == one["band"]
-            near = one.join(two, (one["band"] == two["band"]) & alike & first).select("a", "b", "ca", "cb")
-            near = checkpointed(near)
-            groups = connected_components(near)
-            near = near.join(groups.withColumnRenamed("id", "a").withColumnRenamed("component", "g"), "a")
+            # What shares a bucket directly or through others meets in one group.
+            now = checkpointed(now.select("id", "c", "lead").distinct())
+            groups = connected_components(now.select(F.col("id").alias("a"), F.col("lead").alias("b")))
+            members = now.select("id", "c").distinct().join(groups.withColumnRenamed("component", "g"), "id").join(sigs.select("id", "sig"), "id").join(sets, "id")
+            got = checkpointed(_compared(members, count, least, part, whole))
         else:
             near = now.filter("c <> lead_c").select("id", "c", "lead", "lead_c", "lead_x").distinct()
             near = near.join(sigs.select("id", "sig"), "id").join(sigs.select(F.col("id").alias("lead"), F.col("sig").alias("lead_sig")), "lead")
             near = near.filter(estimated_similarity(F.col("sig"), F.col("lead_sig"), count) >= least)
             near = near.groupBy("id", "c").agg(F.min(F.struct("lead_x", "lead", "lead_c")).alias("to"))
             near = near.select(F.col("id").alias("a"), F.col("to.lead").alias("b"), F.col("c").alias("ca"), F.col("to.lead_c").alias("cb"), F.col("to.lead").alias("g"))
-        got = checkpointed(_confirmed(checkpointed(near), sets, part, whole))
+            got = checkpointed(_confirmed(checkpointed(near), sets, part, whole))
         settled = got.count()
         links = got if links is None else links.unionByName(got)
         if settled:
