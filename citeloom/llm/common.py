@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,10 +42,12 @@ RELEASE_EVERY = 2
 _taken = [0]
 
 
-def release_shuffles(spark: SparkSession) -> None:
+def release_shuffles(spark: SparkSession, wait: float = 0.0) -> None:
     """Let Spark's cleaner drop the shuffle files and checkpoints that nothing refers to any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    if wait:
+        time.sleep(wait)  # the cleaner works beside the driver
 
 
 def doc_fold(doc_id: Column, folds: int) -> Column:

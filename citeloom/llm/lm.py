@@ -35,7 +35,7 @@ from citeloom.llm.common import checkpointed, release_shuffles, table, words_of
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Discounts and strengths of the pair level and of the unigram level.
 D2, S2, D1, S1 = 0.8, 1.0, 0.5, 10.0
-LOG_STEP = math.log(1.1)
+LOG_STEP = math.log(1.3)
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -172,6 +172,7 @@ def _pairs(row) -> tuple[np.ndarray, ...]:
     h ^= h >> np.uint64(31)
     h *= np.uint64(0x94D049BB133111EB)
     h ^= h >> np.uint64(32)
+    h &= ~np.uint64(0xFF)  # 56 bits tell pairs apart and pack better
     order = np.argsort(h, kind="stable")
     rank = np.empty_like(order)
     rank[order] = np.arange(len(order))
@@ -180,7 +181,7 @@ def _pairs(row) -> tuple[np.ndarray, ...]:
     return keys, flat, lens, held, context[order], word[order], h[order], inverse, seen
 
 
-def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10, sweeps: int = 5, block_bytes: int = 12_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10, sweeps: int = 5, block_bytes: int = 16_000_000) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     A null text is empty: one token, its end. Rows with a null key are learned from.
@@ -207,7 +208,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
         return pd.DataFrame({"r": pdf["r"], "block": pdf["block"], "c": [pack(total[i]) for i in np.split(place, ends)], "tokens": int(total.sum()), "kinds": int((total > 0).sum())})
 
     words = checkpointed(_answers(packed.select("block", "keys", "seen").mapInPandas(ask_words, "r int, block long, keys binary, seen binary"), sum_words, "c binary, tokens long, kinds long"))
-    release_shuffles(docs.sparkSession)
+    release_shuffles(docs.sparkSession, 1.0)
     stats = words.groupBy("r").agg(F.first("tokens").alias("t"), F.first("kinds").alias("k")).agg(F.sum("t"), F.sum("k")).first()
     total, kinds = int(stats[0] or 0), int(stats[1] or 0)
     with_words = packed.select("block", "held", "lens", "toks", "keys").join(_by_block(words, "wc", ["c"]), "block")
@@ -234,7 +235,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
         return pd.DataFrame({"r": pdf["r"], "block": pdf["block"], "c": [pack(c[i].astype(np.uint32)) for i in np.split(place, ends)], "t": [pack(t[i]) for i in np.split(place, ends)]})
 
     pairs = checkpointed(_answers(with_words.mapInPandas(ask_pairs, "r int, block long, keys binary, seen binary, qc binary, qw binary"), seat_pairs, "c binary, t binary"))
-    release_shuffles(docs.sparkSession)
+    release_shuffles(docs.sparkSession, 1.0)
     with_pairs = with_words.join(_by_block(pairs, "pc", ["c", "t"]), "block")
 
     def ask_tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -256,7 +257,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
         return pd.DataFrame({"r": pdf["r"], "block": pdf["block"], "tc": [pack(tc[i].astype(np.float32)) for i in np.split(place, ends)], "tw": [pack(tw[i].astype(np.float32)) for i in np.split(place, ends)], "tables": float(tw.sum())})
 
     tables = checkpointed(_answers(with_pairs.mapInPandas(ask_tables, "r int, block long, keys binary, tc binary, tw binary"), sum_tables, "tc binary, tw binary, tables double"))
-    release_shuffles(docs.sparkSession)
+    release_shuffles(docs.sparkSession, 1.0)
     all_tables = float(tables.groupBy("r").agg(F.first("tables").alias("t")).agg(F.sum("t")).first()[0] or 0.0)
     last = packed.select("block", "ids", "nulls").join(with_pairs, "block").join(_by_block(tables, "tb", ["tc", "tw"]), "block")
 

@@ -181,7 +181,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, part: int, whole: int, block:
     return need.groupBy("j1", "j2").cogroup(placed.groupBy("k1", "k2")).applyInPandas(run, "a long, b long")
 
 
-def _compared(members: DataFrame, count: int, least: float, part: int, whole: int, block: int = 256) -> DataFrame:
+def _compared(members: DataFrame, count: int, least: float, part: int, whole: int, block: int = 768) -> DataFrame:
     """Links (a, b) between members (g, id, c, sig, set) of one g and unlike components c.
 
     Members meet in pairs of blocks of about `block`: a component with that many in
