@@ -77,16 +77,19 @@ def features(text: str | None, dims: int) -> np.ndarray | None:
     return (v / np.linalg.norm(v)).astype(np.float32)
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, epochs: int = 12, seed: int = 7) -> np.ndarray:
-    """Weights (the last is the bias) of an L2-regularised hinge-loss machine by dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
-    w, alpha, norm = np.zeros(x.shape[1]), np.zeros(len(x)), (x * x).sum(1)
+def linear_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, cost: float = 10.0, epochs: int = 12, seed: int = 7) -> np.ndarray:
+    """Weights (the last is the bias) of an L2-regularised hinge-loss machine on some rows of x, by dual coordinate descent."""
+    w, alpha = np.zeros(x.shape[1] + 1, np.float32), np.zeros(len(rows))
+    norm = np.einsum("ij,ij->i", x[rows], x[rows]) + 1.0
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
-        for i in rng.permutation(len(x)):
-            new = min(cost, max(0.0, alpha[i] - (y[i] * (x[i] @ w) - 1) / norm[i]))
+        for i in rng.permutation(len(rows)):
+            v = x[rows[i]]
+            new = min(cost, max(0.0, alpha[i] - (y[i] * float(v @ w[:-1] + w[-1]) - 1) / norm[i]))
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                step = np.float32((new - alpha[i]) * y[i])
+                w[:-1] += step * v
+                w[-1] += step
                 alpha[i] = new
     return w
 
@@ -99,11 +102,12 @@ class OneVersusOne:
     pairs: dict[tuple[int, int], np.ndarray] = field(default_factory=dict)
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray) -> OneVersusOne:
+    def fit(cls, x: np.ndarray, rows: np.ndarray, y: np.ndarray) -> OneVersusOne:
+        """y: the class of each of the rows of x."""
         out = cls(sorted(set(y)))
         for a, b in combinations(range(len(out.classes)), 2):
             on = (y == out.classes[a]) | (y == out.classes[b])
-            out.pairs[a, b] = linear_svm(x[on], np.where(y[on] == out.classes[a], 1.0, -1.0))
+            out.pairs[a, b] = linear_svm(x, rows[on], np.where(y[on] == out.classes[a], 1.0, -1.0))
         return out
 
     def decide(self, v: np.ndarray, slope: float = 4.0) -> tuple[str, float]:
@@ -132,8 +136,9 @@ class LanguageModel:
     @classmethod
     def fit(cls, x: np.ndarray, langs: np.ndarray, dims: int) -> LanguageModel:
         fam = np.array([family_of(lang) for lang in langs], dtype=object)
-        within = {f: OneVersusOne.fit(x[fam == f], langs[fam == f]) for f in set(fam)}
-        return cls(dims, OneVersusOne.fit(x, fam), within)
+        every = np.arange(len(x))
+        within = {f: OneVersusOne.fit(x, every[fam == f], langs[fam == f]) for f in set(fam)}
+        return cls(dims, OneVersusOne.fit(x, every, fam), within)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         v = features(text, self.dims)
@@ -153,10 +158,10 @@ def training_sample(labelled: DataFrame, key: str, train_rows: int) -> DataFrame
     each = max(1, train_rows // len(counts))
     share = F.pmod(F.xxhash64(F.lit("langid"), F.col(key)), F.lit(1_000_000)) / 1_000_000.0
     want = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, each / n))) for k, n in counts.items()])
-    return rows.filter(share < want).select("lang", "text").limit(2 * train_rows)
+    return rows.filter(share < want).select("lang", "text")
 
 
-def fit_language_model(labelled: DataFrame, key: str = "doc_id", train_rows: int = 6000, dims: int = 4096) -> LanguageModel | None:
+def fit_language_model(labelled: DataFrame, key: str = "doc_id", train_rows: int = 4000, dims: int = 4096) -> LanguageModel | None:
     """Fit on a bounded sample of rows (lang, text, key); None when there is no usable row.
 
     train_rows bounds the sample and with it what the driver holds: 2 * train_rows
@@ -169,7 +174,7 @@ def fit_language_model(labelled: DataFrame, key: str = "doc_id", train_rows: int
             on = [v is not None for v in got]
             yield pd.DataFrame({"lang": pdf["lang"][on], "v": [v.astype(np.float16).tobytes() for v in got if v is not None]})
 
-    rows = training_sample(labelled, key, train_rows).mapInPandas(vectors, "lang string, v binary").collect()
+    rows = training_sample(labelled, key, train_rows).mapInPandas(vectors, "lang string, v binary").limit(2 * train_rows).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], bytes(r["v"])))
@@ -195,7 +200,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None, text: str =
     return base.mapInPandas(run, schema)
 
 
-def identify(docs: DataFrame, folds: int = 5, train_rows: int = 6000) -> DataFrame:
+def identify(docs: DataFrame, folds: int = 5, train_rows: int = 4000) -> DataFrame:
     """doc_id, held_out, text, lang_pred, score; the model learns from rows outside fold 0 only."""
     held = doc_fold(F.col("doc_id"), folds) == 0
     model = fit_language_model(docs.filter(~held), train_rows=train_rows)
