@@ -43,7 +43,7 @@ def printable_bytes() -> dict[str, int]:
 class BytePairCodec:
     """Encoder and decoder of one vocabulary file (byte-level BPE, JSON)."""
 
-    def __init__(self, path: str, cache_size: int = 200_000, cache_bytes: int = 64):
+    def __init__(self, path: str, cache_size: int = 100_000, cache_bytes: int = 64):
         with open(ensure_path(path), encoding="utf-8") as f:
             spec = json.load(f)
         of = printable_bytes()
@@ -115,7 +115,7 @@ class BytePairCodec:
                 limit, a = ra, self.parts[a][1]
             else:
                 limit, b = rb + 1, self.parts[b][0]
-        if len(self.compatible) >= 400_000:
+        if len(self.compatible) >= 150_000:
             self.compatible.clear()
         self.compatible[key] = fits
         return fits
@@ -217,19 +217,21 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, with_ids: b
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path)
-        for pdf in batches:
-            n, ids_hex, text_hex, arrays = [], [], [], []
-            for t in pdf[text]:
-                ids = c.encode(t)
-                n.append(len(ids))
-                ids_hex.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                text_hex.append(hashlib.sha256(c.decode(ids).encode("utf-8")).hexdigest())
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                pdf = batch.iloc[at : at + 1000]
+                n, ids_hex, text_hex, arrays = [], [], [], []
+                for t in pdf[text]:
+                    ids = c.encode(t)
+                    n.append(len(ids))
+                    ids_hex.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+                    text_hex.append(hashlib.sha256(c.decode(ids).encode("utf-8")).hexdigest())
+                    if with_ids:
+                        arrays.append(ids.astype(np.int32))
+                pdf = pdf.assign(n_tokens=np.array(n, np.int64), ids_sha256=ids_hex, decoded_sha256=text_hex)
                 if with_ids:
-                    arrays.append(ids.astype(np.int32))
-            pdf = pdf.assign(n_tokens=np.array(n, np.int64), ids_sha256=ids_hex, decoded_sha256=text_hex)
-            if with_ids:
-                pdf["token_ids"] = pd.Series(arrays, index=pdf.index, dtype=object)
-            yield pdf[[f.name for f in schema.fields]]
+                    pdf["token_ids"] = pd.Series(arrays, index=pdf.index, dtype=object)
+                yield pdf[[f.name for f in schema.fields]]
 
     return base.mapInPandas(run, schema)
 

@@ -161,7 +161,7 @@ def training_sample(labelled: DataFrame, key: str, train_rows: int) -> DataFrame
     return rows.filter(share < want).select("lang", "text")
 
 
-def fit_language_model(labelled: DataFrame, key: str = "doc_id", train_rows: int = 4000, dims: int = 4096) -> LanguageModel | None:
+def fit_language_model(labelled: DataFrame, key: str = "doc_id", train_rows: int = 2000, dims: int = 4096) -> LanguageModel | None:
     """Fit on a bounded sample of rows (lang, text, key); None when there is no usable row.
 
     train_rows bounds the sample and with it what the driver holds: 2 * train_rows
@@ -194,13 +194,15 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None, text: str =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [model.predict(t) if model else (UNDETERMINED, 0.0) for t in pdf[text]]
-            yield pdf.assign(lang_pred=[g[0] for g in got], score=np.array([g[1] for g in got], float))[[f.name for f in schema.fields]]
+            for at in range(0, len(pdf), 2000):
+                part = pdf.iloc[at : at + 2000]
+                got = [model.predict(t) if model else (UNDETERMINED, 0.0) for t in part[text]]
+                yield part.assign(lang_pred=[g[0] for g in got], score=np.array([g[1] for g in got], float))[[f.name for f in schema.fields]]
 
     return base.mapInPandas(run, schema)
 
 
-def identify(docs: DataFrame, folds: int = 5, train_rows: int = 4000) -> DataFrame:
+def identify(docs: DataFrame, folds: int = 5, train_rows: int = 2000) -> DataFrame:
     """doc_id, held_out, text, lang_pred, score; the model learns from rows outside fold 0 only."""
     held = doc_fold(F.col("doc_id"), folds) == 0
     model = fit_language_model(docs.filter(~held), train_rows=train_rows)

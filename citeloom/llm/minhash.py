@@ -37,7 +37,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept for words seen again; emptied when large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = v = xxhash.xxh64_intdigest(word)
         return v
