@@ -42,7 +42,7 @@ def pack(a: np.ndarray) -> bytes:
     """An array as compressed byte planes (sorted unsigned arrays as differences)."""
     a = np.ascontiguousarray(a)
     planes = a.view(np.uint8).reshape(len(a), a.itemsize).T if len(a) else a.view(np.uint8)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(b: bytes, dtype) -> np.ndarray:
