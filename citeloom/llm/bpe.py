@@ -43,7 +43,7 @@ def printable_bytes() -> dict[str, int]:
 class BytePairCodec:
     """Encoder and decoder of one vocabulary file (byte-level BPE, JSON)."""
 
-    def __init__(self, path: str, cache_size: int = 100_000, cache_bytes: int = 64):
+    def __init__(self, path: str, cache_size: int = 250_000, cache_bytes: int = 64):
         with open(ensure_path(path), encoding="utf-8") as f:
             spec = json.load(f)
         of = printable_bytes()
