@@ -68,7 +68,7 @@ class BytePairCodec:
         # The vocabulary as text of one character per byte, which is what the automaton walks.
         self.machine = ahocorasick.Automaton()
         for b, i in self.id_of.items():
-            self.machine.add_word(b.decode("latin-1"), i)
+            self.machine.add_word(b.decode("latin-1"), (len(b) - 1, i))
         self.machine.make_automaton()
         #: For each token its longest proper prefix that is a token (-1: none).
         self.shorter: dict[int, int] = {}
@@ -123,17 +123,16 @@ class BytePairCodec:
     def longest_at(self, piece: str) -> list[int]:
         """For each position the longest token that starts there."""
         best = [-1] * len(piece)
-        size = [0] * len(piece)
-        for end, i in self.machine.iter(piece):
-            # iter() reports every token that ends here, the longest first.
-            k = len(self.pieces[i])
-            at = end - k + 1
-            if k > size[at]:
-                size[at], best[at] = k, i
+        # Matches come in the order of their ends: of those with one start the last is the longest.
+        for end, (back, i) in self.machine.iter(piece):
+            best[end - back] = i
         return best
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one pre-token."""
+        whole = self.id_of.get(piece)
+        if whole is not None:
+            return (whole,)  # the longest match of all, with no pair to check
         best = self.longest_at(piece.decode("latin-1"))
         n, pos, nxt, out = len(piece), 0, best[0], []
         dead = bytearray(n + 1)
