@@ -6,6 +6,7 @@ import gc
 import os
 import tempfile
 import time
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return out
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """A compressed Parquet table in the shared folder, and its path.
+
+    For what is large for a while: a checkpoint's files aren't compressed. The
+    caller removes it with ``remove`` once nothing reads it any more.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="citeloom-")
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: Iterative operators leave shuffle files of finished rounds behind until the driver collects garbage.
 RELEASE_EVERY = 2
 _taken = [0]
