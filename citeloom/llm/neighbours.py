@@ -1,14 +1,17 @@
-"""Operator 2: near-duplicate embeddings by NN-descent.
+"""Operator 2: near-duplicate embeddings by NN-descent and a sweep over what it leaves apart.
 
 The neighbour graph starts from a forest of random-hyperplane trees whose leaves
 are compared within themselves, and is refined by neighbours-of-neighbours joins:
 each vector brings its neighbours and those that chose it together, and what they
-find nearer than their worst neighbour so far replaces it. Where a list is
-saturated (its worst entry is a link) a list of fixed length can't hold all links:
-it is enlarged to the vector's whole component, whose members are compared in
-blocks of double-precision products, which also confirms every link. Recall is
-audited against brute force for a bounded sample of query vectors; while it is too
-low, the descent goes on with lists twice as long. Equal vectors are one node.
+find nearer than their worst neighbour so far replaces it. Lists of fixed length
+can't hold all links, so the components of their links are a start only: a sweep
+by random hyperplanes in bands compares all vectors of unlike components that
+share a bucket, whatever the bucket's size, with so many bands that a pair at the
+threshold shares none with a probability below MISS. Members of the resulting
+components are compared in blocks of double-precision products, which counts every
+link. Recall is audited against brute force for a bounded sample of query vectors;
+while it is too low, the descent goes on with lists twice as long. Equal vectors
+are one node.
 """
 
 from __future__ import annotations
@@ -22,12 +25,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import checkpointed, table
+from citeloom.llm.common import checkpointed, table, union_all
 from citeloom.llm.components import connected_components
 
 LEAF = 48
 TREES = 8
 AUDIT = 200
+#: The probability that two vectors at the threshold share no bucket of the sweep.
+MISS = 1e-7
+#: Bands of the sweep that are on disk at a time.
+BATCH = 14
 
 
 def unit(v) -> np.ndarray | None:
@@ -122,8 +129,8 @@ def _descend(graph: DataFrame, nodes: DataFrame, k: int, turn: int) -> DataFrame
     return groups.mapInPandas(run, "src long, dst long, sim double")
 
 
-def _linked(graph: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """(id, component, weight, vec) of nodes that some edge of the graph links, edges confirmed in double precision."""
+def _confirmed(graph: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b): edges of the graph confirmed in double precision."""
     near = graph.filter(F.col("sim") >= threshold - 1e-4).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     one, two = nodes.select(F.col("id").alias("a"), F.col("vec").alias("va")), nodes.select(F.col("id").alias("b"), F.col("vec").alias("vb"))
 
@@ -132,7 +139,130 @@ def _linked(graph: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
             if len(pdf):
                 yield pdf.loc[(_matrix(pdf["va"]) * _matrix(pdf["vb"])).sum(1) >= threshold, ["a", "b"]]
 
-    labels = connected_components(near.join(one, "a").join(two, "b").mapInPandas(confirm, "a long, b long"))
+    return near.join(one, "a").join(two, "b").mapInPandas(confirm, "a long, b long")
+
+
+def choose_bands(count: int, threshold: float) -> tuple[int, int]:
+    """(bits, bands): a bucket holds about eight of count spread-out vectors, a pair at the threshold shares none with probability below MISS."""
+    bits = min(40, max(1, math.ceil(math.log2(max(2, count) / 8))))
+    same = min(0.999, (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits)
+    return bits, math.ceil(math.log(MISS) / math.log1p(-same))
+
+
+def _close(x: np.ndarray, y: np.ndarray | None, g: np.ndarray, cx: np.ndarray, cy: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of linked rows of unlike components: of x and y, or without y within each run of equal g of x."""
+    if y is not None:
+        return np.nonzero((x @ y.T >= threshold) & (cx[:, None] != cy[None, :]))
+    starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    sizes = np.diff(np.r_[starts, len(g)])
+    one, two = [], []
+    for at, n in zip(starts[sizes > 64], sizes[sizes > 64], strict=True):
+        part = slice(at, at + n)
+        i, j = np.nonzero(np.triu(x[part] @ x[part].T >= threshold, 1) & (cx[part, None] != cx[None, part]))
+        one.append(i + at)
+        two.append(j + at)
+    # Small buckets together: each row with the one `step` places after it.
+    few = np.repeat(sizes <= 64, sizes)
+    for step in range(1, min(64, len(g))):
+        i = np.flatnonzero(few[:-step] & (g[:-step] == g[step:]) & (cx[:-step] != cx[step:]))
+        if len(i):
+            i = i[np.einsum("ij,ij->i", x[i], x[i + step]) >= threshold]
+            one.append(i)
+            two.append(i + step)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *one]), np.concatenate([none, *two])
+
+
+def _forest_of(i: np.ndarray, j: np.ndarray, ci: np.ndarray, cj: np.ndarray) -> np.ndarray:
+    """Which of the links (i, j) suffice to join the components ci, cj that they join."""
+    _, first = np.unique(np.stack([np.minimum(ci, cj), np.maximum(ci, cj)]), axis=1, return_index=True)
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while (w := root.get(v, v)) != v:
+            root[v] = root.get(w, w)
+            v = w
+        return v
+
+    keep = []
+    for n in first:
+        a, b = find(int(ci[n])), find(int(cj[n]))
+        if a != b:
+            root[a] = b
+            keep.append(n)
+    return np.array(keep, np.int64)
+
+
+def _met(keys: DataFrame, placed: DataFrame, threshold: float, count: int, block: int) -> DataFrame:
+    """Links (a, b) that join the components c of each bucket of keys (g, id, c), comparing all its members of unlike components.
+
+    A component with `block` members in a bucket has blocks of its own, which
+    aren't paired with each other; all others share blocks; small buckets share tasks.
+    """
+    sizes = keys.groupBy("g", "c").agg(F.count("*").alias("m"))
+    of_g = sizes.groupBy("g").agg(F.sum("m").alias("n"), F.count("*").alias("cs"), F.sum(F.when(F.col("m") < block, F.col("m")).otherwise(0)).alias("rest")).filter("cs > 1")
+    own, small = F.col("m") >= block, F.col("n") <= block
+    cut = F.greatest(F.lit(1), F.ceil(F.when(own, F.col("m")).otherwise(F.col("rest")) / block).cast("long"))
+    at = F.xxhash64(F.when(own, F.col("c")), F.pmod(F.xxhash64("id"), cut))
+    shared = F.pmod(F.xxhash64("g"), F.lit(max(1, count // 1024)))
+    dealt = keys.join(sizes, ["g", "c"]).join(of_g, "g").select(
+        F.when(small, shared).otherwise(F.xxhash64(F.lit("own"), "g")).alias("u"), F.when(small, F.lit(0)).otherwise(at).cast("long").alias("k"), F.when(own & ~small, F.col("c")).alias("pure"), "g", "id", "c"
+    )
+    dealt = checkpointed(dealt)
+    blocks = dealt.select("u", "k", "pure").distinct()
+    one, two = blocks.toDF("u", "k1", "p1"), blocks.toDF("u2", "k2", "p2")
+    pairs = one.join(two, (F.col("u") == F.col("u2")) & (F.col("k1") <= F.col("k2")) & ~F.coalesce(F.col("p1") == F.col("p2"), F.lit(False))).select("u", "k1", "k2")
+    left = dealt.join(pairs.withColumn("k", F.col("k1")), ["u", "k"]).withColumn("side", F.lit(0))
+    right = dealt.join(pairs.filter("k1 <> k2").withColumn("k", F.col("k2")), ["u", "k"]).withColumn("side", F.lit(1))
+    both = left.unionByName(right).select("u", "k1", "k2", "side", "g", "id", "c").join(placed.select("id", "vec"), "id")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["k1"].iloc[0] == pdf["k2"].iloc[0]:
+            pdf = pdf.sort_values("g")
+            g, c, ids = (pdf[n].to_numpy() for n in ("g", "c", "id"))
+            i, j = _close(_matrix(pdf["vec"]), None, g, c, c, threshold)
+            ai, aj, ci, cj = ids[i], ids[j], c[i], c[j]
+        else:
+            x, y = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+            cx, cy = x["c"].to_numpy(), y["c"].to_numpy()
+            i, j = _close(_matrix(x["vec"]), _matrix(y["vec"]), cx, cx, cy, threshold)
+            ai, aj, ci, cj = x["id"].to_numpy()[i], y["id"].to_numpy()[j], cx[i], cy[j]
+        if not len(ai):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        on = _forest_of(ai, aj, ci, cj)
+        return pd.DataFrame({"a": ai[on], "b": aj[on]})
+
+    return both.groupBy("u", "k1", "k2").applyInPandas(run, "a long, b long")
+
+
+def _sweep(labels: DataFrame, nodes: DataFrame, count: int, dims: int, threshold: float, seed: int, block: int = 768) -> DataFrame:
+    """Links (a, b) between nodes that the labels (id, component) leave apart, enough of them to join their components."""
+    bits, bands = choose_bands(count, threshold)
+    planes = np.random.default_rng([seed, 2]).standard_normal((dims, bands, bits))
+    placed = checkpointed(nodes.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("c"), "vec"))
+
+    def keys_of(at: int) -> DataFrame:
+        some = planes[:, at : at + BATCH]
+        n = some.shape[1]
+
+        def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    side = (_matrix(pdf["vec"]) @ some.reshape(dims, n * bits) > 0).reshape(len(pdf), n, bits)
+                    codes = (side.astype(np.int64) << np.arange(bits)).sum(2) * n + np.arange(n)
+                    yield pd.DataFrame({"g": codes.reshape(-1), "id": np.repeat(pdf["id"].to_numpy(), n), "c": np.repeat(pdf["c"].to_numpy(), n)})
+
+        return placed.mapInPandas(code, "g long, id long, c long")
+
+    found = [checkpointed(_met(checkpointed(keys_of(at)), placed, threshold, count * min(BATCH, bands), block)) for at in range(0, bands, BATCH)]
+    return union_all(found)
+
+
+def _linked(graph: DataFrame, nodes: DataFrame, count: int, dims: int, threshold: float, seed: int) -> DataFrame:
+    """(id, component, weight, vec) of nodes that some edge of the graph or of the sweep links."""
+    links = checkpointed(_confirmed(graph, nodes, threshold))
+    more = _sweep(connected_components(links), nodes, count, dims, threshold, seed)
+    labels = connected_components(links.unionByName(more))
     return nodes.join(labels, "id").select("id", "component", "weight", "vec")
 
 
@@ -204,7 +334,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, k: int =
             for turn in range(turns):
                 found = _descend(graph, nodes.select("id", "vec"), k, attempt * turns + turn)
                 graph = checkpointed(_lists(graph.union(found), k))
-            linked = checkpointed(_linked(graph, nodes, threshold))
+            linked = checkpointed(_linked(graph, nodes, count, dims, threshold, seed + attempt))
             if audit(nodes, linked, threshold) >= recall:
                 break
             # Audited recall is too low: longer lists, more trees.

@@ -49,3 +49,17 @@ def test_edges(spark):
     rows = [(3, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [2.0, 0.0]), (5, [0.0, 1.0]), (None, [1.0, 0.0])]
     got = sorted(map(tuple, neighbours.near_duplicate_vectors(spark.createDataFrame(rows, schema)).collect()), key=str)
     assert got == sorted([(3, 2, 3, True), (3, 2, 3, True), (4, 2, 3, False), (5, 0, 5, True), (None, 0, None, True)], key=str)
+
+
+def test_groups_that_fill_each_others_lists(spark):
+    r = np.random.default_rng(11)
+    away = r.standard_normal((2, 32))
+    one = away[0] / np.linalg.norm(away[0])
+    two = away[1] - (away[1] @ one) * one
+    two = 0.96 * one + np.sqrt(1 - 0.96**2) * two / np.linalg.norm(two)
+    x = np.concatenate([c + 0.0005 * r.standard_normal((40, 32)) for c in (one, two)] + [r.standard_normal((300, 32))])
+    rows = [(i, [float(e) for e in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {q.vec_id: (q.n_links, q.component_id) for q in neighbours.near_duplicate_vectors(df).collect()}
+    assert got == brute(rows, 0.95)
+    assert all(got[i] == (79, 0) for i in range(80))
