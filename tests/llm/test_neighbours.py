@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from citeloom.llm import neighbours
 
@@ -63,3 +64,19 @@ def test_groups_that_fill_each_others_lists(spark):
     got = {q.vec_id: (q.n_links, q.component_id) for q in neighbours.near_duplicate_vectors(df).collect()}
     assert got == brute(rows, 0.95)
     assert all(got[i] == (79, 0) for i in range(80))
+
+
+def test_audit_sees_lost_groups_beside_a_large_one(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    centres = r.standard_normal((21, 32))
+    x = np.concatenate([c + 0.001 * r.standard_normal((n, 32)) for c, n in zip(centres, [600] + [2] * 20, strict=True)])
+    nodes = spark.createDataFrame([(i, neighbours.unit(v).tobytes()) for i, v in enumerate(x)], "id long, vec binary")
+    only_large = nodes.filter("id < 600").selectExpr("id", "0L as component", "vec")
+    assert neighbours.audit(nodes, only_large, 0.95) < 0.9
+    groups = nodes.selectExpr("id", "if(id < 600, 0L, id - id % 2) as component", "vec")
+    assert neighbours.audit(nodes, groups, 0.95) == 1.0
+    monkeypatch.setattr(neighbours, "audit", lambda *a: 0.5)
+    monkeypatch.setattr(neighbours, "_linked", lambda graph, nodes, *a: nodes.selectExpr("id", "id as component", "weight", "vec"))
+    df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(4)], "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError):
+        neighbours.near_duplicate_vectors(df, turns=0)
