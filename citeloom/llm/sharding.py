@@ -2,8 +2,11 @@
 
 Rows start in a shard drawn by hash. In every round each group of linked rows
 (equal texts) votes: its members move together to the shard where most of them
-are and that has room, under per-shard capacity quotas; groups that don't fit
-vote again in the next round with the quotas that are left. Rows without links,
+are and that has room, under per-shard capacity quotas. A size class that asks for
+more than a shard has left sends so many of its hash buckets as would fill the
+room; each bucket that fits is taken, the largest groups first. Groups refused
+vote again with the quotas that are left, among the shards that can still take
+them, until no group fits anywhere. Rows without links,
 and members of groups that found no room, then fill the shards to sizes that
 differ by one at most. A group larger than nine tenths of a shard is
 first split into salted pieces. Only eight loads and a table of bounded size (shards
@@ -19,15 +22,16 @@ from pyspark.sql import functions as F
 
 from citeloom.llm.common import checkpointed, table
 
-#: Quota buckets: 64 size classes, the largest first, of 64 hash values each.
+#: Quota buckets: 64 size classes, the largest first, of 64 hash values each that ask in a round.
 HASHES = 64
 
 
-def _settle(groups: DataFrame, capacity: list[int], rounds: int) -> DataFrame:
-    """(h1, h2, piece, home) for the pieces of groups that found a shard."""
-    shards = len(capacity)
+def _settle(groups: DataFrame, capacity: list[int]) -> DataFrame:
+    """(h1, h2, piece, home) for the pieces of groups that found a shard; no other piece fits into what is left."""
+    shards, spark = len(capacity), groups.sparkSession
     free, left, settled = list(capacity), groups, []
-    for _ in range(rounds):
+    turn = 0
+    while True:
         room = F.array(*[F.lit(int(x)) for x in free])
         # The fullest vote among the shards that can take the whole piece; ties by hash.
         options = F.transform(
@@ -35,25 +39,32 @@ def _settle(groups: DataFrame, capacity: list[int], rounds: int) -> DataFrame:
             lambda s: F.struct(F.when(F.get(room, s) >= F.col("n"), F.get("votes", s)).alias("v"), F.pmod(F.xxhash64("h1", s), F.lit(1 << 20)).alias("t"), s.alias("s")),
         )
         best = F.array_max(F.filter(options, lambda o: o["v"].isNotNull()))["s"]
-        asked = left.withColumn("home", best).withColumn("bucket", (63 - F.floor(F.log2("n"))) * HASHES + F.pmod(F.xxhash64("h2", "piece"), F.lit(HASHES)))
-        load = asked.filter("home is not null").groupBy("home", "bucket").agg(F.sum("n").alias("m"))
-        upto = F.sum("m").over(W.partitionBy("home").orderBy("bucket"))
-        fits = load.withColumn("ok", upto <= F.get(room, F.col("home"))).filter("ok").select("home", "bucket", "ok")
-        now = checkpointed(asked.join(F.broadcast(fits), ["home", "bucket"], "left"))
-        got = now.filter("ok").select("h1", "h2", "piece", "home", "n")
-        taken = {r["home"]: r["n"] for r in got.groupBy("home").agg(F.sum("n").alias("n")).collect()}
-        if not taken:
+        # Room only shrinks: what fits nowhere now never will.
+        asked = checkpointed(left.withColumn("home", best).filter("home is not null").withColumn("class", (63 - F.floor(F.log2("n"))).cast("int")))
+        wants = asked.groupBy("home", "class").agg(F.sum("n").alias("m")).collect()  # shards * 64 at most
+        if not wants:
             break
-        settled.append(got.drop("n"))
-        free = [f - taken.get(s, 0) for s, f in enumerate(free)]
+        widths = spark.createDataFrame([(r["home"], r["class"], HASHES * max(1, -(-r["m"] // free[r["home"]]))) for r in wants], "home int, class int, width long")
+        value = F.pmod(F.xxhash64(F.lit(turn), "h2", "piece"), F.col("width"))
+        asked = asked.join(F.broadcast(widths), ["home", "class"]).withColumn("bucket", F.when(value < HASHES, F.col("class") * HASHES + value)).drop("width", "class")
+        load = asked.filter("bucket is not null").groupBy("home", "bucket").agg(F.sum("n").alias("m")).collect()  # shards * 4096 at most
+        fits = []
+        for r in sorted(load, key=lambda r: (r["home"], r["bucket"])):
+            if r["m"] <= free[r["home"]]:
+                free[r["home"]] -= r["m"]
+                fits.append((r["home"], r["bucket"], True))
+        now = asked.join(F.broadcast(spark.createDataFrame(fits, "home int, bucket long, ok boolean")), ["home", "bucket"], "left")
+        now = checkpointed(now)
+        settled.append(now.filter("ok").select("h1", "h2", "piece", "home"))
         left = now.filter("ok is null").drop("home", "bucket", "ok")
+        turn += 1
     out = settled[0] if settled else groups.select("h1", "h2", "piece", F.lit(0).alias("home")).limit(0)
     for x in settled[1:]:
         out = out.unionByName(x)
     return out
 
 
-def balanced_shards(docs: DataFrame, n_shards: int = 8, rounds: int = 6, key: str = "doc_id", text: str = "text") -> DataFrame:
+def balanced_shards(docs: DataFrame, n_shards: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, size, text_crc32, law ('rows'), shard, slot, grown_shard (null: another shard count means a new run).
 
     size is the text's UTF-8 bytes plus 1 (null: 1; its crc32 is that of nothing).
@@ -87,7 +98,7 @@ def balanced_shards(docs: DataFrame, n_shards: int = 8, rounds: int = 6, key: st
         .groupBy("h1", "h2", "piece")
         .agg(F.count("*").alias("n"), F.array(*[F.count_if(F.col("start") == s) for s in range(n_shards)]).alias("votes"))
     )
-    homes = _settle(checkpointed(pieces), [even] * n_shards, rounds)
+    homes = _settle(checkpointed(pieces), sizes)
     buckets = max(1024, total // 50_000)
     placed = rows.join(homes, ["h1", "h2", "piece"], "left").select(
         key, "size", "text_crc32", F.coalesce(F.col("home").cast("int"), F.lit(-1)).alias("home"), F.pmod(F.xxhash64(F.lit("slot"), key), F.lit(buckets)).alias("bucket")

@@ -34,3 +34,16 @@ def test_even_and_together(spark):
 def test_small_tables_and_repeats(spark):
     for rows in ([], [(1, "a")], [(1, "a")] * 5, [(i, "same") for i in range(50)], [(i, None) for i in range(9)]):
         check(rows, sharding.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_no_group_is_cut_while_a_shard_has_room(spark):
+    # Unlike sizes of one size class and shards nearly full of groups: whole buckets don't fit, single groups do.
+    groups = [(f"group {g}", 2 + g % 37) for g in range(400)]
+    rows = [t for t, n in groups for _ in range(n)]
+    rows = [(i, t) for i, t in enumerate(rows)] + [(100_000 + i, f"alone {i}") for i in range(len(rows) * 3 // 7)]
+    out = sharding.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check(rows, out)
+    of, shards = dict(rows), defaultdict(set)
+    for r in out:
+        shards[of[r.doc_id]].add(r.shard)
+    assert all(len(v) == 1 for v in shards.values())
