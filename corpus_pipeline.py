@@ -18,11 +18,16 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter (or text) go: no language can be told. The others' rows stay as they are."""
+    """Documents without a letter (or text) go: no language can be told. A missing lang becomes the predicted one.
+
+    Without a labelled row there is no model: documents with a letter stay as they are.
+    """
     held = common.doc_fold(F.col("doc_id"), 5) == 0
     model = langid.fit_language_model(docs.filter(~held))
-    told = langid.predict_languages(docs.select(*COLUMNS), model)
-    return told.filter(F.col("lang_pred") != langid.UNDETERMINED).select(*COLUMNS)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    told = langid.predict_languages(docs.select(*COLUMNS), model).filter(F.col("lang_pred") != langid.UNDETERMINED)
+    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,3 +28,13 @@ def test_against_brute_force(spark, tmp_path):
     assert set(got) == set(want) and got
     codec = bpe.codec(bpe.default_vocabulary())
     assert all(got[i].text == clean[i] and list(got[i].token_ids) == codec.encode(clean[i]).tolist() for i in got)
+
+
+def test_language_fills_what_is_missing_and_keeps_letters_without_a_model(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, "the cat and the dog" if i % 2 else "le chat et le chien", "en" if i % 2 else "fr", "s", 19) for i in range(40)]
+    docs = spark.createDataFrame([*rows, (50, "the dog and the cat", None, "s", 19), (51, "12", None, "s", 2)], schema)
+    got = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert got == {r[0]: r[2] for r in rows} | {50: "en"}
+    bare = spark.createDataFrame([(1, "some words", None, "s", 10), (2, "12 34", None, "s", 5), (3, None, None, "s", 0)], schema)
+    assert [r.doc_id for r in corpus_pipeline.identify_language(spark, bare, "").collect()] == [1]
