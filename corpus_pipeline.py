@@ -38,9 +38,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, Jaccard 0.8) the least doc_id stays."""
-    groups = minhash.near_duplicates(docs, k=5, part=80, whole=100)
-    return docs.select(*COLUMNS).join(groups.filter("kept").select("doc_id"), "doc_id", "left_semi")
+    """Of each group of near-duplicates (five-word shingles, Jaccard 0.8) the row with the least doc_id stays.
+
+    Rows count, not ids: each has a number in the order of doc_id, so a repeated
+    doc_id keeps what its own texts decide. A null doc_id stands alone and stays.
+    """
+    rows = docs.filter("doc_id is not null").select(*COLUMNS).orderBy("doc_id", F.xxhash64("text"))
+    rows, _ = common.written(rows.withColumn("row", F.monotonically_increasing_id()))
+    groups = minhash.near_duplicates(rows.select("row", "text"), k=5, part=80, whole=100, key="row")
+    kept = rows.join(groups.filter("kept").select("row"), "row", "left_semi").select(*COLUMNS)
+    return kept.unionByName(docs.filter("doc_id is null").select(*COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

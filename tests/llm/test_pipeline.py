@@ -38,3 +38,11 @@ def test_language_fills_what_is_missing_and_keeps_letters_without_a_model(spark)
     assert got == {r[0]: r[2] for r in rows} | {50: "en"}
     bare = spark.createDataFrame([(1, "some words", None, "s", 10), (2, "12 34", None, "s", 5), (3, None, None, "s", 0)], schema)
     assert [r.doc_id for r in corpus_pipeline.identify_language(spark, bare, "").collect()] == [1]
+
+
+def test_documents_without_an_id_or_with_a_shared_one(spark):
+    one, two = (" ".join(f"{w}{i}" for i in range(30)) for w in "ab")
+    rows = [(None, one), (None, one), (1, one), (1, one), (1, two), (2, two), (3, one + " end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.dedup_documents(spark, docs, "").collect()), key=str)
+    assert got == sorted([(None, one), (None, one), (1, one), (1, two)], key=str)
