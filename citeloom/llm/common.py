@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
-import time
 import uuid
 from functools import reduce
 
@@ -21,16 +21,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests, notebooks) is a local one set.
+    Where it is unset, a temporary folder serves a local session (tests); on a
+    cluster executors couldn't see it, so that's an error.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+    spark.conf.set("spark.checkpoint.dir", folder := tempfile.mkdtemp(prefix="citeloom-"))
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="citeloom-"))
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    folder = shared_folder(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
     out = df.checkpoint(eager=True)
     _taken[0] += 1
     if _taken[0] % RELEASE_EVERY == 0:
@@ -39,16 +50,39 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> tuple[DataFrame, str]:
-    """A compressed Parquet table in the shared folder, and its path.
+    """A compressed Parquet table in the shared folder, and its path."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+class Tables:
+    """Compressed Parquet tables in the shared folder, removed when the block ends, however it ends.
 
-    For what is large for a while: a checkpoint's files aren't compressed. The
-    caller removes it with ``remove`` once nothing reads it any more.
+    For what is large for a while: a checkpoint's files aren't compressed.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="citeloom-")
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.at = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+        self.count = 0
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        remove(self.spark, self.at)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.at}/{self.count}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths = getattr(self, "paths", {}) | {id(out): path}
+        return out
+
+    def drop(self, kept: DataFrame) -> None:
+        """Remove one of the tables before the end."""
+        remove(self.spark, self.paths.pop(id(kept)))
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -65,8 +99,6 @@ def release_shuffles(spark: SparkSession, wait: float = 0.0) -> None:
     """Let Spark's cleaner drop the shuffle files and checkpoints that nothing refers to any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    if wait:
-        time.sleep(wait)  # the cleaner works beside the driver
 
 
 def doc_fold(doc_id: Column, folds: int) -> Column:

@@ -6,13 +6,13 @@ Pairs that share a band are candidates; bit counts of the packed signatures give
 a similarity corrected for chance agreement of low bits, and pairs clearly below
 the threshold go; the rest is confirmed on the full sets in integers.
 
-No bucket is expanded into all its pairs while links can still merge it: in star
-rounds each document is compared with one leader of its buckets, components are
-contracted, and in the end just members of a bucket's group whose components
-still differ are compared, block by block. This is
-exact with regard to the bands: a pair that shares a band is either compared or
-already in one component. Bands are chosen so that a pair at the threshold shares
-none with probability below ``miss``.
+Nodes are the distinct shingle sets. No bucket is expanded into all its pairs while
+links can still merge it: in star rounds each node is compared with one leader of
+its buckets and components are contracted, as long as that settles a good part of
+the comparisons. What is left in buckets of unlike components is compared in blocks
+of nodes that share their largest bucket. This is exact with regard to the bands: a
+pair that shares a band is either compared or already in one component. Bands are
+chosen so that a pair at the threshold shares none with probability below ``miss``.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import checkpointed, table, words_of
-from citeloom.llm.components import connected_components
+from citeloom.llm.components import Forest, connected_components
 
 LOW_BITS = 2
 PER_LONG = 64 // LOW_BITS
@@ -116,6 +116,11 @@ def slack(threshold: float, count: int, sigmas: float = 6.0) -> float:
     return sigmas * math.sqrt(p * (1 - p) / count) / (1 - chance)
 
 
+def _digest(shingles: np.ndarray) -> tuple[int, int]:
+    d = xxhash.xxh128_digest(shingles.tobytes())
+    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+
+
 def _sketches(docs: DataFrame, key: str, text: str, k: int, rows: int, bands: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -125,207 +130,189 @@ def _sketches(docs: DataFrame, key: str, text: str, k: int, rows: int, bands: in
                 if not len(s):
                     out.append((0, None, None, None, None))
                     continue
-                d = xxhash.xxh128_digest(s.tobytes())
                 m = minima(s, rows * bands)
-                out.append((len(s), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), band_keys(m, rows, bands), packed_low_bits(m)))
+                out.append((len(s), *_digest(s), band_keys(m, rows, bands), packed_low_bits(m)))
             got = pd.DataFrame(out, columns=["n_shingles", "d1", "d2", "bands", "sig"], dtype=object)
-            got.insert(0, key, pdf[key].to_numpy())
+            for n, name in enumerate((key, "keyless", "th")):
+                got.insert(n, name, pdf[name].to_numpy())
             yield got
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, n_shingles long, d1 long, d2 long, bands array<long>, sig array<long>")
+    # Null keys would turn a batch's keys into doubles.
+    filled = docs.select(F.coalesce(key, F.lit(0)).cast(kind).alias(key), F.col(key).isNull().alias("keyless"), text, "th")
+    out = filled.mapInPandas(run, f"`{key}` {kind}, keyless boolean, th long, n_shingles long, d1 long, d2 long, bands array<long>, sig array<long>")
+    return out.withColumn(key, F.when(~F.col("keyless"), F.col(key))).drop("keyless")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, part: int, whole: int, block: int = 256) -> DataFrame:
-    """Links (a, b) among pairs (a, b, ca, cb, g) whose sets satisfy whole * |a and b| >= part * |a or b|.
+def _alike(a: np.ndarray, b: np.ndarray, part: int, whole: int) -> bool:
+    """Whether whole * |a and b| >= part * |a or b|, of sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    if whole * len(a) < part * len(b):
+        return False
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return whole * both >= part * (len(a) + len(b) - both)
 
-    ca and cb are the ends' components so far: pairs that links found in the same
-    task have joined already are skipped. g is any label equal for all pairs of an
-    id: pairs of one g meet in blocks of about `block` ids (small g's share one),
-    so that a set travels once for each pair of blocks and not for each pair.
-    """
-    ids = pairs.select(F.col("a").alias("id"), "g").union(pairs.select(F.col("b").alias("id"), "g")).distinct()
-    sizes = ids.groupBy("g").agg(F.ceil(F.count("*") / block).cast("long").alias("pieces"))
-    shared = max(1, ids.count() // block)
 
-    def place(i: str):
-        return F.when(F.col("pieces") == 1, F.pmod(F.xxhash64("g"), F.lit(shared))).otherwise(F.xxhash64("g", F.pmod(F.xxhash64(i), F.col("pieces"))))
+def _confirmed(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
+    """Links (a, b) among pairs (task, a, b, ca, cb), by their full sets.
 
-    placed = pairs.join(sizes, "g").select("a", "b", "ca", "cb", place("a").alias("pa"), place("b").alias("pb"))
-    placed = placed.select("a", "b", "ca", "cb", F.least("pa", "pb").alias("k1"), F.greatest("pa", "pb").alias("k2"))
-    need = placed.select("k1", "k2", F.col("a").alias("id")).union(placed.select("k1", "k2", F.col("b").alias("id"))).distinct().join(sets, "id").toDF("id", "j1", "j2", "set")
+    ca and cb are the ends' components so far: pairs that links found in the same
+    task have joined already are skipped. A set travels once for each task.
+    """
+    need = pairs.select("task", F.col("a").alias("id")).union(pairs.select("task", F.col("b").alias("id"))).distinct()
+    have = need.join(sets, "id").select(F.col("task").alias("at"), "id", "set")
 
     def run(have: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
         of = {i: np.frombuffer(x, np.uint64) for i, x in zip(have["id"], have["set"], strict=True)}
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (y := root.get(x, x)) != x:
-                root[x] = root.get(y, y)
-                x = y
-            return x
-
-        keep = []
+        forest, keep = Forest(), []
         for a, b, ca, cb in zip(todo["a"], todo["b"], todo["ca"], todo["cb"], strict=True):
-            ra, rb = find(ca), find(cb)
-            x, y = of.get(a), of.get(b)
-            if ra == rb or x is None or y is None or whole * min(len(x), len(y)) < part * max(len(x), len(y)):
-                continue
-            at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-            both = int((x[at] == y).sum())
-            if whole * both >= part * (len(x) + len(y) - both):
+            if a in of and b in of and forest.root(ca) != forest.root(cb) and _alike(of[a], of[b], part, whole):
                 keep.append((a, b))
-                root[ra] = rb
+                forest.join(ca, cb)
         return pd.DataFrame(keep, columns=["a", "b"], dtype="int64")
 
-    return need.groupBy("j1", "j2").cogroup(placed.groupBy("k1", "k2")).applyInPandas(run, "a long, b long")
+    return have.groupBy("at").cogroup(pairs.groupBy("task")).applyInPandas(run, "a long, b long")
 
 
-def _compared(members: DataFrame, count: int, least: float, part: int, whole: int, block: int = 768) -> DataFrame:
-    """Links (a, b) between members (g, id, c, sig, set) of one g and unlike components c.
+def _compared(members: DataFrame, sets: DataFrame, count: int, least: float, part: int, whole: int, block: int = 768) -> DataFrame:
+    """Links (a, b) between members (band, id, c, home, sig) of one band's bucket and unlike components c.
 
-    Members meet in pairs of blocks of about `block`: a component with that many in
-    its g has blocks of its own, which aren't paired with each other; all others of
-    the g share blocks; small g's share one. Within a task, pairs whose packed low
-    bits are far from alike are passed over, the rest is confirmed on the sets
-    unless links of the same task have joined them already.
+    Every id has one home, the largest bucket it lies in, and homes are cut into
+    blocks of about `block` ids: a component with that many ids in a home has blocks
+    of its own there. Two blocks that some bucket holds in common meet in one task,
+    unless both belong to the same component. There ids and packed low bits are
+    compared, and what is alike by them is confirmed on the sets, unless links of the
+    same task have joined the components already.
     """
-    sizes = members.groupBy("g", "c").agg(F.count("*").alias("m"))
-    of_g = sizes.groupBy("g").agg(F.sum("m").alias("n"), F.sum(F.when(F.col("m") < block, F.col("m")).otherwise(0)).alias("rest"))
-    total = members.count()
-    placed = members.join(sizes, ["g", "c"]).join(of_g, "g")
+    ids = members.select("id", "c", "home", "sig").dropDuplicates(["id"])
+    sizes = ids.groupBy("home", "c").agg(F.count("*").alias("m"))
+    rest = sizes.groupBy("home").agg(F.sum(F.when(F.col("m") < block, F.col("m")).otherwise(0)).alias("rest"))
     own = F.col("m") >= block
     cut = F.greatest(F.lit(1), F.ceil(F.when(own, F.col("m")).otherwise(F.col("rest")) / block).cast("long"))
-    small = F.col("n") <= block
-    shared = F.pmod(F.xxhash64("g"), F.lit(max(1, total // block)))
-    at = F.xxhash64(F.when(own, F.col("c")), F.pmod(F.xxhash64("id"), cut))
-    placed = placed.select(F.when(small, shared).otherwise(F.xxhash64("g")).alias("u"), F.when(small, F.lit(0)).otherwise(at).cast("long").alias("k"), F.when(own & ~small, F.col("c")).alias("pure"), "g", "id", "c", "sig", "set")
-    placed = checkpointed(placed)
-    blocks = placed.select("u", "k", "pure").distinct()
-    one, two = blocks.toDF("u", "k1", "p1"), blocks.toDF("u2", "k2", "p2")
-    pairs = one.join(two, (F.col("u") == F.col("u2")) & (F.col("k1") <= F.col("k2")) & ~F.coalesce(F.col("p1") == F.col("p2"), F.lit(False))).select("u", "k1", "k2")
-    left = placed.join(pairs.withColumn("k", F.col("k1")), ["u", "k"]).withColumn("side", F.lit(0))
-    right = placed.join(pairs.filter("k1 <> k2").withColumn("k", F.col("k2")), ["u", "k"]).withColumn("side", F.lit(1))
-    dealt = left.unionByName(right).select("u", "k1", "k2", "side", "g", "id", "c", "sig", "set")
+    at = F.xxhash64("home", F.when(own, F.col("c")), F.pmod(F.xxhash64("id"), cut))
+    placed = checkpointed(ids.join(sizes, ["home", "c"]).join(rest, "home").select("id", "c", "sig", at.alias("k"), F.when(own, F.col("c")).alias("pure")))
+    blocks = members.select("band", "id").join(placed.select("id", "k", "pure"), "id").select("band", "k", "pure").distinct()
+    one, two = blocks.toDF("band", "k1", "p1"), blocks.toDF("band2", "k2", "p2")
+    met = one.join(two, (F.col("band") == F.col("band2")) & (F.col("k1") <= F.col("k2")) & ~F.coalesce(F.col("p1") == F.col("p2"), F.lit(False)))
+    met = checkpointed(met.select("k1", "k2").distinct())
+    tasks = max(1, met.count() * block // 65536, placed.count() // block)
+    met = met.withColumn("task", F.pmod(F.xxhash64("k1", "k2"), F.lit(tasks)))
+    left = placed.join(met.withColumn("k", F.col("k1")), "k").withColumn("side", F.lit(0))
+    right = placed.join(met.filter("k1 <> k2").withColumn("k", F.col("k2")), "k").withColumn("side", F.lit(1))
+    dealt = left.unionByName(right).join(sets, "id").select("task", "k1", "k2", "side", "id", "c", "sig", "set")
     most = count - int((least * (1 - 1 / (1 << LOW_BITS)) + 1 / (1 << LOW_BITS)) * count)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        alone = pdf["k1"].iloc[0] == pdf["k2"].iloc[0]
-        y = pdf if alone else pdf[pdf["side"] == 1]
-        x = pdf if alone else pdf[pdf["side"] == 0]
-        sets = [[np.frombuffer(b, np.uint64) for b in side["set"]] for side in (x, y)]
-        sig = np.stack(y["sig"].to_list()).astype(np.int64).view(np.uint64) if len(y) else np.empty((0, 1), np.uint64)
-        gy, cy, iy = (y[n].to_numpy() for n in ("g", "c", "id"))
-        root: dict[int, int] = {}
-
-        def find(v: int) -> int:
-            while (w := root.get(v, v)) != v:
-                root[v] = root.get(w, w)
-                v = w
-            return v
-
-        keep = []
-        for n, (g, c, i, s) in enumerate(zip(x["g"], x["c"], x["id"], x["sig"], strict=True)):
-            d = sig ^ np.asarray(s, np.int64).view(np.uint64)
-            far = np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1)
-            on = (gy == g) & (cy != c) & (far <= most)
-            if alone:
-                on[: n + 1] = False
-            a = sets[0][n]
-            for j in np.flatnonzero(on):
-                ra, rb = find(c), find(cy[j])
-                b = sets[1][j]
-                if ra == rb or whole * min(len(a), len(b)) < part * max(len(a), len(b)):
-                    continue
-                both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
-                if whole * both >= part * (len(a) + len(b) - both):
-                    keep.append((i, iy[j]))
-                    root[ra] = rb
+        pdf = pdf.sort_values(["k1", "k2", "side"], kind="stable")
+        k1, k2, side, ids, c = (pdf[n].to_numpy() for n in ("k1", "k2", "side", "id", "c"))
+        sig = np.stack(pdf["sig"].to_list()).astype(np.int64).view(np.uint64)
+        sets = [np.frombuffer(b, np.uint64) for b in pdf["set"]]
+        starts = np.flatnonzero(np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
+        forest, keep = Forest(), []
+        for lo, hi in zip(starts, np.r_[starts[1:], len(pdf)], strict=True):
+            alone = k1[lo] == k2[lo]
+            mid = hi if alone else lo + int((side[lo:hi] == 0).sum())
+            for n in range(lo, mid):
+                at = n + 1 if alone else mid
+                d = sig[at:hi] ^ sig[n]
+                far = np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1)
+                for j in np.flatnonzero((far <= most) & (c[at:hi] != c[n])) + at:
+                    if forest.root(int(c[n])) != forest.root(int(c[j])) and _alike(sets[n], sets[j], part, whole):
+                        keep.append((ids[n], ids[j]))
+                        forest.join(int(c[n]), int(c[j]))
         return pd.DataFrame(keep, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("u", "k1", "k2").applyInPandas(run, "a long, b long")
+    return dealt.groupBy("task").applyInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, part: int = 85, whole: int = 100, key: str = "doc_id", text: str = "text", star_rounds: int = 2) -> DataFrame:
+def _mixed(buckets: DataFrame, labels: DataFrame | None, order: Column) -> DataFrame:
+    """Buckets that hold unlike components, with each row's component c and the bucket's leader, the first by order."""
+    if labels is None:
+        now = buckets.withColumn("c", F.col("id"))
+    else:
+        now = buckets.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    lead = now.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(order.alias("x"), "id", "c", "n", "sig")).alias("lead"))
+    return now.join(lead.filter("lo < hi").select("band", "lead"), "band")
+
+
+def _labelled(every: DataFrame, nodes: DataFrame, labels: DataFrame | None, key: str) -> DataFrame:
+    """key, n_shingles, component_id, kept of every row; a component is called by the least key of its nodes."""
+    of_node = nodes.select("id", F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("key").alias("least"))
+    if labels is not None:
+        called = labels.join(of_node.select("id", "least"), "id")
+        called = called.join(called.groupBy("component").agg(F.min("least").alias("name")), "component").select("id", "name")
+        of_node = of_node.join(called, "id", "left").withColumn("least", F.coalesce("name", "least"))
+    light = every.select(key, "n_shingles", F.when(F.col(key).isNotNull(), F.col("d1")).alias("d1"), "d2")
+    out = light.join(of_node.select("e1", "e2", "least"), (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left")
+    out = out.select(key, "n_shingles", F.coalesce("least", F.col(key)).alias("component_id"))
+    return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame, k: int = 3, part: int = 85, whole: int = 100, key: str = "doc_id", text: str = "text", star_rounds: int = 5) -> DataFrame:
     """key, n_shingles, component_id, kept for every row; links are Jaccard >= part / whole of k-word shingle sets.
 
     A text without words (or null) has the empty set and stands alone. Equal sets
-    are one class and linked; its least key speaks for it. Rows that repeat a key
-    get results of their own text (a shared key joins their components). Keys must
-    be integers; a null key is a document that stands alone, with a null component
-    and kept. Other columns don't matter. An empty table gives an empty result.
+    are one node, found by its digest, so rows that repeat a key keep what their own
+    texts decide, and none of their links is lost; component_id is the least key of
+    the rows reachable by links. Keys must be integers; a null key is a document that
+    stands alone, with a null component and kept. Other columns don't matter. An
+    empty table gives an empty result.
     """
     threshold = part / whole
     rows, bands = choose_bands(threshold)
     count = rows * bands
-    every = checkpointed(_sketches(docs, key, text, k, rows, bands))
+    hashed = docs.select(F.col(key), F.col(text), F.xxhash64(text).alias("th"))
+    every = checkpointed(_sketches(hashed, key, text, k, rows, bands))
     mine = every.filter(f"n_shingles > 0 and `{key}` is not null")
-    classes = checkpointed(mine.groupBy("d1", "d2").agg(F.min(key).alias("rep")))
-    reps = mine.join(classes, (mine.d1 == classes.d1) & (mine.d2 == classes.d2) & (mine[key] == classes.rep)).select("rep", "bands", "sig").dropDuplicates(["rep"])
-    shared = reps.select(F.col("rep").alias("id"), F.explode("bands").alias("band"))
-    sized = shared.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    buckets = checkpointed(shared.join(sized, "band"))
+    first = mine.groupBy("d1", "d2").agg(F.min(F.struct(F.col(key).cast("long").alias("key"), "th")).alias("at"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    nodes = checkpointed(first.select(F.monotonically_increasing_id().alias("id"), "d1", "d2", "at.key", "at.th", "n", "bands", "sig"))
+    shared = nodes.select("id", "n", "sig", F.explode("bands").alias("band"))
+    sized = shared.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1")
+    shared = shared.join(sized, "band")
     # Who shares bands with many others is the likely original of a group of copies, and leads first.
-    popular = buckets.groupBy("id").agg(F.sum("n").alias("fame"))
-    buckets = checkpointed(buckets.drop("n").join(popular, "id"))
-
-    ids = buckets.select("id").distinct()
-    wanted = docs.select(F.col(key).cast("long").alias("id"), text).join(ids, "id")
+    of_id = shared.groupBy("id").agg(F.sum("m").alias("fame"), F.max(F.struct("m", "band")).alias("largest")).select("id", "fame", F.col("largest.band").alias("home"))
+    buckets = checkpointed(shared.join(of_id, "id").select("band", "id", "n", "sig", "m", "fame", "home"))
+    if buckets.isEmpty():
+        return _labelled(every, nodes, None, key)
+    ids = buckets.select("id").distinct().join(nodes.select("id", "d1", "d2", "key", "th"), "id")
+    wanted = hashed.join(ids, (hashed[key] == ids["key"]) & (hashed["th"] == ids["th"])).select("id", "d1", hashed[text].alias("text"))
 
     def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "set": [shingle_set(t, k).tobytes() for t in pdf[text]]})
+            sets = [shingle_set(t, k) for t in pdf["text"]]
+            on = np.array([_digest(x)[0] for x in sets], np.int64) == pdf["d1"].to_numpy()
+            yield pd.DataFrame({"id": pdf["id"], "set": [x.tobytes() for x in sets]})[on]
 
     sets = checkpointed(wanted.mapInPandas(to_sets, "id long, set binary"))
-    sigs = checkpointed(reps.select(F.col("rep").alias("id"), "sig").join(ids, "id"))
     least = threshold - slack(threshold, count)
-
-    def order(turn: int, i: str) -> Column:
-        return F.xxhash64(F.lit(turn), i) if turn else -F.col("fame")
-
     links: DataFrame | None = None
     labels: DataFrame | None = None
-    settled = 0
-    for turn in range(star_rounds + 1):
-        if labels is None:
-            now = buckets.withColumn("c", F.col("id"))
-        else:
-            now = buckets.join(labels.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-        parts = now.groupBy("band", "c").agg(F.count("*").alias("m"), F.min(F.struct(order(turn, "id").alias("x"), "id")).alias("lead"))
-        mixed = parts.groupBy("band").agg(
-            F.count("*").alias("cs"), F.min(F.struct("lead.x", "lead.id", "c")).alias("lead")
-        ).filter("cs > 1")
-        mixed = checkpointed(mixed.select("band", F.col("lead.x").alias("lead_x"), F.col("lead.id").alias("lead"), F.col("lead.c").alias("lead_c")))
-        if mixed.isEmpty():
-            break
-        final = turn == star_rounds
-        now = now.join(mixed.select("band", "lead", "lead_c", "lead_x"), "band")
-        if final:
-            # What shares a bucket directly or through others meets in one group.
-            now = checkpointed(now.select("id", "c", "lead").distinct())
-            groups = connected_components(now.select(F.col("id").alias("a"), F.col("lead").alias("b")))
-            members = now.select("id", "c").distinct().join(groups.withColumnRenamed("component", "g"), "id").join(sigs.select("id", "sig"), "id").join(sets, "id")
-            got = checkpointed(_compared(members, count, least, part, whole))
-        else:
-            near = now.filter("c <> lead_c").select("id", "c", "lead", "lead_c", "lead_x").distinct()
-            near = near.join(sigs.select("id", "sig"), "id").join(sigs.select(F.col("id").alias("lead"), F.col("sig").alias("lead_sig")), "lead")
-            near = near.filter(estimated_similarity(F.col("sig"), F.col("lead_sig"), count) >= least)
-            near = near.groupBy("id", "c").agg(F.min(F.struct("lead_x", "lead", "lead_c")).alias("to"))
-            near = near.select(F.col("id").alias("a"), F.col("to.lead").alias("b"), F.col("c").alias("ca"), F.col("to.lead_c").alias("cb"), F.col("to.lead").alias("g"))
-            got = checkpointed(_confirmed(checkpointed(near), sets, part, whole))
+    for turn in range(star_rounds):
+        order = F.xxhash64(F.lit(turn), "id") if turn else -F.col("fame")
+        mixed = _mixed(buckets, labels, order)
+        # Every document meets the most alike of the leaders of its buckets.
+        alike = estimated_similarity(F.col("sig"), F.col("lead.sig"), count)
+        near = mixed.filter((F.col("c") != F.col("lead.c")) & (F.least("n", "lead.n") * whole >= F.greatest("n", "lead.n") * part)).withColumn("alike", alike).filter(F.col("alike") >= least)
+        near = near.select("id", "c", "m", F.struct("alike", F.col("lead.id").alias("id"), F.col("lead.c").alias("c")).alias("lead"))
+        near = checkpointed(near.groupBy("id", "c").agg(F.max(F.struct("lead", "m")).alias("to")).select("id", "c", "to.lead", "to.m"))
+        tried = near.count()
+        task = F.pmod(F.xxhash64("lead.id", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / 256).cast("long"))), F.lit(max(1, tried // 256)))
+        pairs = near.select(task.alias("task"), F.col("id").alias("a"), F.col("lead.id").alias("b"), F.col("c").alias("ca"), F.col("lead.c").alias("cb"))
+        got = checkpointed(_confirmed(pairs, sets, part, whole))
         settled = got.count()
         links = got if links is None else links.unionByName(got)
         if settled:
-            labels = checkpointed(connected_components(links))
-        if final:
+            labels = connected_components(links)
+        if settled * 4 < tried or not tried:
             break
-    if labels is None:
-        labels = classes.select(F.col("rep").alias("id"), F.col("rep").alias("component")).limit(0)
-    of_class = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("component", "rep").alias("component"))
-    light = every.select(key, "n_shingles", "d1", "d2")
-    component = F.coalesce(F.when(F.col(key).isNotNull(), F.col("component")), F.col(key)).alias("component_id")
-    out = light.join(of_class, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left").select(key, "n_shingles", component)
-    return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+    # What leaders didn't settle is compared within its buckets.
+    members = checkpointed(_mixed(buckets, labels, F.col("id")).select("band", "id", "c", "home", "sig"))
+    if not members.isEmpty():
+        got = checkpointed(_compared(members, sets, count, least, part, whole))
+        if not got.isEmpty():
+            labels = connected_components(got if links is None else links.unionByName(got))
+    return _labelled(every, nodes, labels, key)
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -27,7 +28,7 @@ def brute(rows, k, part, whole):
     least = {}
     for i, (d, _) in enumerate(rows):
         least[find(i)] = min(least.get(find(i), d), d)
-    return {d: (len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows)}
+    return [(d, len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows)]
 
 
 def corpus(seed=1):
@@ -54,12 +55,51 @@ def test_against_brute_force(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n_shingles", "true as kept")
     for k, part, whole in ((3, 85, 100), (5, 80, 100)):
-        want = brute(rows, k, part, whole)
         out = minhash.near_duplicates(df, k, part, whole).collect()
-        assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want and len(out) == len(rows)
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == sorted(brute(rows, k, part, whole))
         assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
 
+def test_unlike_texts_under_one_id(spark):
+    rows = [(d % 90 + (1 << 60), t) for d, t in corpus(3)]
+    out = minhash.near_duplicates(spark.createDataFrame([*rows, (None, "a b c")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out if r.doc_id is not None) == sorted(brute(rows, 3, 85, 100))
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, a), (5, b), (7, a + " x"), (9, b + " y")]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in out} == {(5, 5), (7, 5), (9, 5)}
+
+
+def test_crowded_group(spark):
+    """A group of many texts that all share buckets, linked and not, over blocks of its own."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(1700):
+        c = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 3, 4])):
+            c[r.randrange(60)] = f"v{r.randrange(10**6)}"
+        rows.append((i, " ".join(c)))
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), star_rounds=1).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == sorted(brute_large(rows))
+
+
+def brute_large(rows):
+    """brute() by counting common shingles through an index."""
+    sets = [frozenset(zip(w, w[1:], w[2:], strict=False)) for w in (t.split() for _, t in rows)]
+    where, label = {}, list(range(len(rows)))
+    for i, s in enumerate(sets):
+        for x in s:
+            where.setdefault(x, []).append(i)
+    for i, s in enumerate(sets):
+        near = Counter(j for x in s for j in where[x] if j < i)
+        for j, n in near.items():
+            if label[i] != label[j] and 100 * n >= 85 * (len(s) + len(sets[j]) - n):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if v == old else v for v in label]
+    return [(d, len(sets[i]), rows[label[i]][0]) for i, (d, _) in enumerate(rows)]
+
+
 def test_edges(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, "a b c d"), (3, None)]
@@ -82,6 +122,7 @@ def test_estimate_and_bands(spark):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100), (200, 300), (300, 200), (None, 5)] + [(500, i) for i in range(501, 560)]
-    got = {r.id: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(41)} | {200: 200, 300: 200} | {i: 500 for i in range(500, 560)}
+    for most in (10, 50, 10**6):
+        got = {r.id: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), links_per_task=most).collect()}
+        assert got == {i: 0 for i in range(41)} | {200: 200, 300: 200} | {i: 500 for i in range(500, 560)}
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
