@@ -91,13 +91,17 @@ def json_span(reply: Column) -> Column:
 
 
 def parse_judgement(reply: Column) -> Column:
-    """struct(label, confidence) of a reply; what can't be read is (Neutral, 0)."""
+    """struct(label, confidence) of a reply; (Neutral, 0) if it holds no JSON object.
+
+    An object without a label, or with an unknown one, is Neutral and keeps its
+    confidence; a confidence that isn't a number is 0, others are clipped to [0, 1].
+    """
     doc = json_span(F.coalesce(reply, F.lit("")))
-    label = label_normalise(F.get_json_object(doc, "$.label"))
+    readable = F.try_parse_json(doc).isNotNull() & F.startswith(F.ltrim(doc), F.lit("{"))
     conf = F.coalesce(F.get_json_object(doc, "$.confidence").try_cast("double"), F.lit(0.0))
     conf = F.when(F.isnan(conf), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf)))
-    known = F.get_json_object(doc, "$.label").isNotNull()
-    return F.struct(F.when(known, label).otherwise("Neutral").alias("label"), F.when(known, conf).otherwise(F.lit(0.0)).alias("confidence"))
+    label = label_normalise(F.get_json_object(doc, "$.label"))
+    return F.struct(F.when(readable, label).otherwise("Neutral").alias("label"), F.when(readable, conf).otherwise(F.lit(0.0)).alias("confidence"))
 
 
 def parse_rewrites(reply: Column, n: int) -> Column:

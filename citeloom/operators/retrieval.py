@@ -1,26 +1,32 @@
 """Ranking of documents for queries: BM25, feedback, exact vector search, fusion, reranking.
 
-Everything is set at a time: all queries are ranked by one plan. Postings are cut
-to the terms that some query holds before anything is scored, and top-k windows sit
-directly under their filter so that Spark prunes them before and after the shuffle.
-Ties are broken by id; scores that are sums of floats are rounded in sort keys.
+Queries are ranked a block at a time: each task multiplies the block's matrix with
+its documents and keeps its own best, so that a shuffle moves a few rows a query and
+task. Ties are broken by id; scores that are sums of floats are rounded in sort keys.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as T
+from citeloom.operators.storage import kept_table
 
 K1, B = 0.9, 0.4
 DIGITS = 9
 
 
-def ranked(df: DataFrame, by: list[str], score: str, key: str, k: int | None, rank: str = "rank") -> DataFrame:
-    """Rank 1.. in each group by score desc, key asc; the first k only."""
-    out = df.withColumn(rank, F.row_number().over(W.partitionBy(*by).orderBy(F.round(score, DIGITS).desc(), F.col(key))))
+def ranked(df: DataFrame, by: list[str], score: str, key: str | list[str], k: int | None, rank: str = "rank") -> DataFrame:
+    """Rank 1.. in each group by score desc, keys asc; the first k only."""
+    keys = [key] if isinstance(key, str) else key
+    out = df.withColumn(rank, F.row_number().over(W.partitionBy(*by).orderBy(F.round(score, DIGITS).desc(), *keys)))
     return out if k is None else out.filter(F.col(rank) <= k)
 
 
@@ -35,26 +41,103 @@ def query_terms(queries: DataFrame, by: list[str], text: str = "query") -> DataF
     return queries.select(*by, F.explode(T.terms(F.col(text))).alias("term")).groupBy(*by, "term").agg(F.count("*").cast("double").alias("weight"))
 
 
+def token_table(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(pmid, hs): each document's tokens as 64-bit hashes, a table that is written once a session and read by every ranking."""
+    made = docs.select(F.col(key).alias("pmid"), F.col(text).alias("text"))
+    return kept_table(made, "tokens", lambda d: d.select("pmid", F.transform(T.terms(F.col("text")), lambda t: F.xxhash64(t)).alias("hs")))
+
+
+def _best(thresholds: np.ndarray, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of found (query, key, score) what may be among its query's k best, ties kept; thresholds are raised in place."""
+    q, p, s = (np.concatenate(x) for x in zip(*found, strict=True))
+    r = np.round(s, DIGITS)
+    order = np.lexsort((-r, q))
+    q, p, s, r = q[order], p[order], s[order], r[order]
+    starts = np.searchsorted(q, np.arange(len(thresholds)))
+    full = np.searchsorted(q, np.arange(len(thresholds)), side="right") - starts >= k
+    thresholds[full] = np.maximum(thresholds[full], r[starts[full] + k - 1])
+    on = r >= thresholds[q]
+    return [(q[on], p[on], s[on])]
+
+
+def _blocks_of(weighted: DataFrame, by: list[str], cells: int = 8_000_000) -> Iterator[pd.DataFrame]:
+    """The query terms in blocks whose matrix (queries by terms) stays below `cells`."""
+    w = weighted.select(*by, F.xxhash64("term").alias("h"), F.col("weight").cast("double").alias("weight"))
+    size = w.agg(F.count("*").alias("n"), F.count_distinct(*by).alias("q")).first()
+    if not size["n"]:
+        return
+    most = max(1.0, math.sqrt(cells / (size["n"] / size["q"])))
+    blocks = math.ceil(size["q"] / most)
+    for i in range(blocks):
+        part = w.filter(F.pmod(F.xxhash64(*by), F.lit(blocks)) == i).toPandas()  # bounded by `cells`
+        if len(part):
+            yield part
+
+
 def bm25(weighted: DataFrame, docs: DataFrame, by: list[str], k: int, key: str = "pmid", text: str = "contents", k1: float = K1, b: float = B) -> DataFrame:
     """(by, pmid, bm25_score, rank) of the k best documents for weighted query terms.
 
-    idf = ln(1 + (N - df + 0.5) / (df + 0.5)); lengths are exact. The texts are
-    scanned twice: once for the two corpus numbers, once for the postings that some
-    query asks for (a semi-join on terms; Spark broadcasts them if they are few).
+    idf = ln(1 + (N - df + 0.5) / (df + 0.5)); lengths are exact. Queries are a stated
+    set, taken in blocks; a block's terms are a matrix that every task multiplies with
+    its documents' term weights, keeping its k best (and ties) of each query. Nothing
+    but these goes through a shuffle, whatever the number of documents that hold a
+    frequent term. The documents' tokens are read twice a block, for document
+    frequencies and for scores.
     """
-    length = F.size(T.terms(F.col(text)))
-    stats = docs.agg(F.count("*").alias("n"), F.avg(length).alias("avgdl"))
-    asked = weighted.select("term").distinct()
-    ts = docs.select(F.col(key).alias("pmid"), T.terms(F.col(text)).alias("ts"))
-    post = ts.select("pmid", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(asked, "term", "left_semi")
-    post = post.groupBy("term", "pmid").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    n, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    hits = weighted.join(df, "term").join(post, "term")
-    scores = hits.groupBy(*by, "pmid").agg(F.sum(F.col("weight") * idf * part).alias("bm25_score"))
-    return ranked(scores, by, "bm25_score", "pmid", k)
+    tokens = token_table(docs, key, text)
+    size = tokens.agg(F.count("*").alias("n"), F.avg(F.size("hs")).alias("avgdl")).first()
+    n, avgdl = size["n"], size["avgdl"] or 1.0
+    kind = tokens.schema["pmid"].dataType.simpleString()
+    head = ", ".join(f"`{c}` {weighted.schema[c].dataType.simpleString()}" for c in by)
+    out = weighted.sparkSession.createDataFrame([], f"{head}, pmid {kind}, bm25_score double")
+    for part in _blocks_of(weighted, by):
+        names, at = part[by].drop_duplicates().reset_index(drop=True), part.groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+        vocabulary, term = np.unique(part["h"].to_numpy(np.int64), return_inverse=True)
+        weight = part["weight"].to_numpy(float)
+
+        def hits(pdf: pd.DataFrame, vocabulary=vocabulary) -> tuple[np.ndarray, ...]:
+            """Lengths, and (document, term, frequency) of the vocabulary's terms."""
+            lens = pdf["hs"].map(len).to_numpy(np.int64)
+            flat = np.concatenate(pdf["hs"].to_list()).astype(np.int64) if lens.sum() else np.zeros(0, np.int64)
+            t = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
+            on = vocabulary[t] == flat
+            code, tf = np.unique(np.repeat(np.arange(len(pdf)), lens)[on] * len(vocabulary) + t[on], return_counts=True)
+            return lens, code // len(vocabulary), code % len(vocabulary), tf
+
+        def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(len(vocabulary), np.int64)
+            for pdf in batches:
+                if len(pdf):
+                    total += np.bincount(hits(pdf)[2], minlength=len(vocabulary))
+            on = np.flatnonzero(total)
+            yield pd.DataFrame({"t": on, "df": total[on]})
+
+        df = np.zeros(len(vocabulary))
+        for row in tokens.select("hs").mapInPandas(frequencies, "t long, df long").groupBy("t").agg(F.sum("df").alias("df")).collect():  # the block's terms
+            df[row["t"]] = row["df"]
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            matrix = np.zeros((len(names), len(vocabulary)))
+            np.add.at(matrix, (at, term), weight * idf[term])
+            thresholds, found = np.zeros(len(names)), []
+            for pdf in batches:
+                for lo in range(0, len(pdf), 256):
+                    some = pdf.iloc[lo : lo + 256]
+                    lens, d, t, tf = hits(some)
+                    part = np.zeros((len(vocabulary), len(some)))
+                    part[t, d] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens[d] / avgdl))
+                    s = matrix @ part
+                    q, j = np.nonzero((s > 0) & (np.round(s, DIGITS) >= thresholds[:, None]))
+                    found.append((q, some["pmid"].to_numpy()[j], s[q, j]))
+                    if len(found) > 16:
+                        found = _best(thresholds, found, k)
+            if found:
+                q, p, s = _best(thresholds, found, k)[0]
+                yield names.iloc[q].reset_index(drop=True).assign(pmid=p, bm25_score=s)
+
+        out = out.unionByName(tokens.mapInPandas(score, out.schema))
+    return ranked(out, by, "bm25_score", "pmid", k)
 
 
 def rm1_terms(accepted: DataFrame, vectors: DataFrame, by: list[str], n: int = 10, exclude: DataFrame | None = None) -> DataFrame:
@@ -70,10 +153,15 @@ def rm1_terms(accepted: DataFrame, vectors: DataFrame, by: list[str], n: int = 1
     return ranked(weights, by, "w", "term", n, "term_rank")
 
 
+def _vectors_of(first: DataFrame, docs: DataFrame, key: str = "pmid", text: str = "contents") -> DataFrame:
+    """Term vectors of the documents that a ranking names, and of no others."""
+    return postings(docs.join(first.select(F.col("pmid").alias(key)).distinct(), key, "left_semi"), key, text)
+
+
 def rm3(weighted: DataFrame, docs: DataFrame, by: list[str], k: int, fb_docs: int = 10, fb_terms: int = 10, original: float = 0.5, **cols) -> DataFrame:
     """BM25 over the query mixed with feedback terms of its first fb_docs documents."""
     first = bm25(weighted, docs, by, fb_docs, **cols)
-    fb = rm1_terms(first, postings(docs, cols.get("key", "pmid"), cols.get("text", "contents")), by, fb_terms)
+    fb = rm1_terms(first, _vectors_of(first, docs, **cols), by, fb_terms)
     fb = fb.withColumn("share", F.col("w") / F.sum("w").over(W.partitionBy(*by)))
     q = weighted.withColumn("share", F.col("weight") / F.sum("weight").over(W.partitionBy(*by)))
     mixed = q.select(*by, "term", (F.col("share") * original).alias("weight")).unionByName(fb.select(*by, "term", (F.col("share") * (1 - original)).alias("weight")))
@@ -81,16 +169,17 @@ def rm3(weighted: DataFrame, docs: DataFrame, by: list[str], k: int, fb_docs: in
 
 
 def filtered_feedback(queries: DataFrame, relevant: DataFrame, docs: DataFrame, by: list[str], k: int, initial: int = 30, n: int = 10, text: str = "query", **cols) -> DataFrame:
-    """Feedback from those of the first `initial` documents that `relevant` (by, pmid) accepts.
+    """Feedback from those of the first `initial` documents that `relevant` accepts: rows (by, pmid), or a function of the first hits to such rows.
 
     Their best terms, but for the query's own white-space tokens, are appended to
     the query, which is then ranked anew; without an accepted document the query
     stays as it is, and a query without a first hit gives no row.
     """
     first = bm25(query_terms(queries, by, text), docs, by, initial, **cols)
-    accepted = first.join(relevant.select(*by, "pmid").distinct(), [*by, "pmid"], "left_semi")
+    accepted = relevant(first) if callable(relevant) else relevant
+    accepted = first.join(accepted.select(*by, "pmid").distinct(), [*by, "pmid"], "left_semi")
     own = queries.select(*by, F.explode(F.split(F.lower(text), r"\s+")).alias("term"))
-    more = rm1_terms(accepted, postings(docs, cols.get("key", "pmid"), cols.get("text", "contents")), by, n, own)
+    more = rm1_terms(accepted, _vectors_of(accepted, docs, **cols), by, n, own)
     more = more.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("term_rank", "term"))), lambda x: x["term"]).alias("more"))
     had = queries.join(first.select(*by).distinct(), by, "left_semi").join(more, by, "left")
     grown = had.withColumn(text, T.expand_query(F.col(text), F.coalesce("more", F.array().cast("array<string>"))))
@@ -102,6 +191,17 @@ def rrf(rankings: DataFrame, by: list[str], key: str = "pmid", k: int = 60, top:
     return ranked(rankings.groupBy(*by, key).agg(F.sum(F.lit(1.0) / (k + F.col(rank))).alias("rrf_score")), by, "rrf_score", key, top)
 
 
+def with_fallback(queries: DataFrame, rewrites: DataFrame, by: list[str], n: int = 3, original: bool = True, text: str = "query") -> DataFrame:
+    """(by, variant, query): the original as variant 0 and up to n rewrites; the original alone where all rewrites are empty.
+
+    rewrites: (by, rewrites array<string>), e.g. of parse_rewrites.
+    """
+    met = queries.select(*by, text).join(rewrites.select(*by, "rewrites"), by, "left")
+    usable = F.slice(F.filter(F.coalesce("rewrites", F.array().cast("array<string>")), lambda r: F.trim(r) != ""), 1, n)
+    variants = F.concat(F.array(text), usable) if original else F.when(F.size(usable) > 0, usable).otherwise(F.array(text))
+    return met.select(*by, F.posexplode(variants).alias("variant", text))
+
+
 def rewrite_fusion(variants: DataFrame, docs: DataFrame, by: list[str], k: int, text: str = "query", **cols) -> DataFrame:
     """Rank each variant (by, variant, query) of a query and fuse the rankings; variants joined by ' || ' are kept as query."""
     hits = bm25(query_terms(variants, [*by, "variant"], text), docs, [*by, "variant"], k, **cols)
@@ -113,17 +213,39 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, by: list[str], k: int, key: str = "pmid", max_queries: int = 10_000) -> DataFrame:
-    """(by, key, score, rank): exact inner products of unit vectors, all queries against all vectors.
+def dense_topk(queries: DataFrame, vectors: DataFrame, by: list[str], k: int, key: str = "pmid", block: int = 4096) -> DataFrame:
+    """(by, key, score, rank): exact inner products of unit vectors, a stated set of queries against all vectors.
 
-    Queries are a stated set (at most max_queries, checked) that is broadcast in one
-    block; every vector is read once.
+    Queries are taken in blocks of about `block`, each a matrix that every task
+    multiplies with its vectors, keeping its k best (and ties) of each query; all
+    vectors are read once a block.
     """
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries: rank them in blocks")
-    q = queries.select(*by, T.l2_normalise(F.col("vector")).alias("_q"))
-    v = vectors.select(key, T.l2_normalise(F.col("vector")).alias("_v"))
-    return ranked(v.crossJoin(F.broadcast(q)).select(*by, key, dot(F.col("_v"), F.col("_q")).alias("score")), by, "score", key, k)
+    q = queries.select(*by, T.l2_normalise(F.col("vector")).alias("vector"))
+    v = vectors.select(key, T.l2_normalise(F.col("vector")).alias("vector"))
+    blocks = math.ceil(q.count() / block)
+    head = ", ".join(f"`{c}` {queries.schema[c].dataType.simpleString()}" for c in by)
+    out = queries.sparkSession.createDataFrame([], f"{head}, `{key}` {vectors.schema[key].dataType.simpleString()}, score double")
+    for i in range(blocks):
+        part = q.filter(F.pmod(F.xxhash64(*by), F.lit(blocks)) == i).toPandas()  # about `block` rows
+        if not len(part):
+            continue
+        names, matrix = part[by], np.stack(part["vector"].to_list()).astype(float)
+
+        def score(batches: Iterator[pd.DataFrame], names=names, matrix=matrix) -> Iterator[pd.DataFrame]:
+            thresholds, found = np.full(len(names), -np.inf), []
+            for pdf in batches:
+                for lo in range(0, len(pdf), 1024):
+                    some = pdf.iloc[lo : lo + 1024]
+                    s = matrix @ np.stack(some["vector"].to_list()).astype(float).T
+                    a, j = np.nonzero(np.round(s, DIGITS) >= thresholds[:, None])
+                    found.append((a, some[key].to_numpy()[j], s[a, j]))
+                    found = _best(thresholds, found, k)
+            if found:
+                a, p, s = found[0]
+                yield names.iloc[a].reset_index(drop=True).assign(**{key: p, "score": s})
+
+        out = out.unionByName(v.mapInPandas(score, out.schema))
+    return ranked(out, by, "score", key, k)
 
 
 def hybrid(lexical: DataFrame, dense: DataFrame, by: list[str], top: int, key: str = "pmid", k: int = 60) -> DataFrame:
@@ -131,7 +253,7 @@ def hybrid(lexical: DataFrame, dense: DataFrame, by: list[str], top: int, key: s
     return rrf(lexical.select(*cols).unionByName(dense.select(*cols)), by, key, k, top)
 
 
-def rerank_topk(scored: DataFrame, by: list[str], k: int = 30, key: str = "pmid") -> DataFrame:
+def rerank_topk(scored: DataFrame, by: list[str], k: int = 30, key: str | list[str] = "pmid") -> DataFrame:
     return ranked(scored, by, "ce_score", key, k, "rank_after_rerank")
 
 

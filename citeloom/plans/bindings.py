@@ -26,9 +26,35 @@ def queries(spark, d) -> DataFrame:
 
 
 def relevant(spark, d) -> DataFrame:
-    """(qa_id, pmid): documents that hold the first 60 characters of a benchmark text (a small table, checked by its size)."""
-    b = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("qa_id"), F.substring("text", 1, 60).alias("head"))
-    return corpus(spark, d).join(F.broadcast(b), F.contains("contents", "head")).select("qa_id", "pmid")
+    """(qa_id, pmid): documents that hold a benchmark text as a run of words."""
+    b = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("qa_id"), F.col("text").alias("passage"))
+    return passages_held(corpus(spark, d), b)
+
+
+def passages_held(docs: DataFrame, passages: DataFrame, k: int = 5) -> DataFrame:
+    """(qa_id, pmid) of documents (pmid, contents) that hold a passage (qa_id, passage) whole, white space aside.
+
+    A passage's first k words (all of a shorter one) are its key; documents are
+    joined by the windows of those lengths, and the whole passage is then looked for.
+    """
+    words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
+    p = passages.select("qa_id", words(F.col("passage")).alias("p")).filter(F.element_at("p", 1) != "")
+    p = p.select("qa_id", F.least(F.size("p"), F.lit(k)).alias("n"), "p").select("qa_id", "n", F.xxhash64(F.slice("p", 1, F.col("n"))).alias("h"), F.concat(F.lit(" "), F.array_join("p", " "), F.lit(" ")).alias("p"))
+    lengths = sorted(r["n"] for r in p.select("n").distinct().collect())  # k values at most
+    w = docs.select("pmid", words(F.col("contents")).alias("w"))
+
+    def windows(n: int) -> DataFrame:
+        at = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return w.select("pmid", F.lit(n).alias("n"), F.explode(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice("w", i, n))))).alias("h"))
+
+    found = None
+    for n in lengths:
+        met = windows(n).join(p.select("qa_id", "n", "h"), ["n", "h"]).select("qa_id", "pmid")
+        found = met if found is None else found.unionByName(met)
+    if found is None:
+        return docs.select(F.lit(None).cast("string").alias("qa_id"), "pmid").limit(0)
+    texts = w.select("pmid", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("t"))
+    return found.distinct().join(p.select("qa_id", "p"), "qa_id").join(texts, "pmid").filter(F.contains("t", "p")).select("qa_id", "pmid").distinct()
 
 
 def vectors(spark, d) -> DataFrame:

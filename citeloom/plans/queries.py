@@ -46,6 +46,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 S_SENT = r"""sent AS (SELECT qa_id, (generate_subscripts(parts, 1) - 1)::INT AS sentence_id, unnest(parts) AS sentence_text FROM (
   SELECT item_id::VARCHAR AS qa_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM benchmark))"""
 S_CORPUS = "corpus AS (SELECT doc_id::VARCHAR AS pmid, text AS contents FROM documents)"
+S_REL = r"""rel AS (SELECT DISTINCT item_id::VARCHAR AS qa_id, pmid FROM corpus JOIN benchmark ON contains(' ' || trim(regexp_replace(contents, '\s+', ' ', 'g')) || ' ', ' ' || trim(regexp_replace(text, '\s+', ' ', 'g')) || ' '))"""
 S_POST = S_CORPUS + """, toks AS (SELECT pmid, regexp_extract_all(lower(contents), '[a-z0-9]+') AS ts FROM corpus),
 post AS (SELECT pmid, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT pmid, len(ts) AS dl, unnest(ts) AS term FROM toks) GROUP BY pmid, term)"""
 S_QREL = """qrels AS (SELECT l_orderkey::VARCHAR AS qa_id, l_linenumber AS sentence_id, l_partkey::VARCHAR AS pmid,
@@ -121,10 +122,22 @@ def _(s, d):
     return B.table(s, d, "customer").select(F.col("c_name").alias("qa_id"), T.fold_of(F.col("c_name"), 5).alias("fold"))
 
 
-@query("json_label_parse", """SELECT event_id, 'Neutral' AS label, 0.0::DOUBLE AS confidence, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
+S_REPLY = r"""reply AS (SELECT event_id, CASE event_id % 8
+  WHEN 0 THEN '{"label": "Supports", "confidence": ' || '0.' || lpad((event_id % 100)::VARCHAR, 2, '0') || '}' WHEN 1 THEN 'Answer: {"label": "contradicts.", "confidence": "0.25"} done' WHEN 2 THEN '{"confidence": ' || '0.' || lpad((event_id % 100)::VARCHAR, 2, '0') || '}'
+  WHEN 3 THEN 'I think it ' || event_type WHEN 4 THEN '{"label": "Not relevant", "confidence": ' || (1 + event_id) || '}' WHEN 5 THEN '{"label": "Supp' WHEN 6 THEN '{"label": "' || event_type || '", "confidence": -1}'
+  ELSE '{"label": "neutral", "confidence": "high"}' END AS reply FROM events)"""
+
+
+@query("json_label_parse", f"""WITH {S_REPLY}, j AS (SELECT event_id, CASE WHEN json_valid(regexp_extract(reply, '(?s)\\{{.*\\}}')) THEN regexp_extract(reply, '(?s)\\{{.*\\}}') END AS doc FROM reply),
+f AS (SELECT event_id, doc, lower(trim(json_extract_string(doc, '$.label'), ' .')) AS l, try_cast(json_extract_string(doc, '$.confidence') AS DOUBLE) AS c FROM j)
+SELECT event_id, CASE WHEN l LIKE 'supports%' THEN 'Supports' WHEN l LIKE 'contradicts%' THEN 'Contradicts' WHEN l LIKE 'not%' THEN 'Not relevant' ELSE 'Neutral' END AS label, CASE WHEN doc IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, coalesce(c, 0.0))) END::DOUBLE AS confidence FROM f""")
 def _(s, d):
-    p = T.parse_judgement(F.col("props"))
-    return B.table(s, d, "events").select("event_id", p["label"].alias("label"), p["confidence"].alias("confidence"), F.get_json_object("props", "$.k").try_cast("long").alias("k"))
+    e, n, v = B.table(s, d, "events"), F.col("event_id") % 8, F.concat(F.lit("0."), F.lpad((F.col("event_id") % 100).cast("string"), 2, "0"))
+    reply = F.when(n == 0, F.concat(F.lit('{"label": "Supports", "confidence": '), v, F.lit("}"))).when(n == 1, F.lit('Answer: {"label": "contradicts.", "confidence": "0.25"} done')).when(n == 2, F.concat(F.lit('{"confidence": '), v, F.lit("}")))
+    reply = reply.when(n == 3, F.concat(F.lit("I think it "), "event_type")).when(n == 4, F.concat(F.lit('{"label": "Not relevant", "confidence": '), (1 + F.col("event_id")).cast("string"), F.lit("}"))).when(n == 5, F.lit('{"label": "Supp'))
+    reply = reply.when(n == 6, F.concat(F.lit('{"label": "'), "event_type", F.lit('", "confidence": -1}'))).otherwise(F.lit('{"label": "neutral", "confidence": "high"}'))
+    p = T.parse_judgement(reply)
+    return e.select("event_id", p["label"].alias("label"), p["confidence"].alias("confidence"))
 
 
 @query("prompt_keys", "SELECT item_id, sha1(encode(text) || '\\x00'::BLOB || encode(text)) AS prompt_key FROM benchmark")
@@ -192,7 +205,7 @@ S_RM1 = """fbs AS (SELECT qa_id, term, sum(tf / dl) / any_value(nd) AS w FROM {0
 fb AS (SELECT *, row_number() OVER (PARTITION BY qa_id ORDER BY round(w, 9) DESC, term) AS term_rank FROM fbs {1} QUALIFY term_rank <= 10)"""
 
 
-@query("rm1_terms", f"WITH {S_POST}, rel AS (SELECT DISTINCT item_id::VARCHAR AS qa_id, pmid FROM corpus JOIN benchmark ON contains(contents, substr(text, 1, 60))), {S_RM1.format('rel', '')} SELECT qa_id, term, round(w, 6) AS w, term_rank::INT AS term_rank FROM fb")
+@query("rm1_terms", f"WITH {S_POST}, {S_REL}, {S_RM1.format('rel', '')} SELECT qa_id, term, round(w, 6) AS w, term_rank::INT AS term_rank FROM fb")
 def _(s, d):
     return rounded(RT.rm1_terms(B.relevant(s, d), RT.postings(B.corpus(s, d)), TOPIC))
 
@@ -204,7 +217,7 @@ def _(s, d):
     return rounded(RT.rm3(_qt(s, d), B.corpus(s, d), TOPIC, 50))
 
 
-@query("prf_filtered_topk", f"""{S_BASE}, rel AS (SELECT DISTINCT item_id::VARCHAR AS qa_id, pmid FROM corpus JOIN benchmark ON contains(contents, substr(text, 1, 60))),
+@query("prf_filtered_topk", f"""{S_BASE}, {S_REL},
 {s_bm25('first', 'qt', 'qa_id', 30)}, acc AS (SELECT qa_id, pmid FROM first SEMI JOIN rel USING (qa_id, pmid)),
 own AS (SELECT DISTINCT item_id::VARCHAR AS qa_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS term FROM benchmark), {S_RM1.format('acc', 'ANTI JOIN own USING (qa_id, term)')},
 grown AS (SELECT qa_id, term, sum(weight) AS weight FROM (SELECT * FROM qt SEMI JOIN first USING (qa_id) UNION ALL SELECT qa_id, term, 1.0 FROM fb) GROUP BY ALL),
@@ -227,12 +240,12 @@ def _(s, d):
 
 
 S_VEC = """vec AS (SELECT vec_id::VARCHAR AS pmid, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v, vec_id FROM embeddings),
-dense AS (SELECT q.pmid AS qa_id, d.pmid, list_dot_product(q.v, d.v) AS score, row_number() OVER (PARTITION BY q.pmid ORDER BY round(list_dot_product(q.v, d.v), 9) DESC, d.pmid) AS rank FROM vec q, vec d WHERE q.vec_id < 20 QUALIFY rank <= 25)"""
+dense AS (SELECT q.pmid AS qa_id, d.pmid, list_dot_product(q.v, d.v) AS score, row_number() OVER (PARTITION BY q.pmid ORDER BY round(list_dot_product(q.v, d.v), 9) DESC, d.pmid) AS rank FROM vec q, vec d WHERE q.vec_id % 20 = 0 QUALIFY rank <= 25)"""
 
 
 def _dense(s, d):
     v = B.vectors(s, d)
-    return RT.dense_topk(v.filter("cast(pmid as long) < 20").withColumnRenamed("pmid", "qa_id"), v, TOPIC, 25)
+    return RT.dense_topk(v.filter("cast(pmid as long) % 20 = 0").withColumnRenamed("pmid", "qa_id"), v, TOPIC, 25)
 
 
 @query("dense_topk", f"WITH {S_VEC} SELECT qa_id, pmid, round(score, 6) AS score, rank::INT AS rank FROM dense")
@@ -255,10 +268,10 @@ def _(s, d):
     return rounded(RT.rrf(one.unionByName(two), TOPIC, top=5))
 
 
-@query("rerank_topk", f"WITH {S_STANCE} SELECT qa_id, sentence_id, pmid, rk, round(ent, 6) AS ce_score, row_number() OVER (PARTITION BY qa_id, sentence_id ORDER BY round(ent, 9) DESC, rk)::INT AS rank_after_rerank FROM st QUALIFY rank_after_rerank <= 3")
+@query("rerank_topk", f"WITH {S_STANCE} SELECT qa_id, sentence_id, pmid, rk, round(ent, 6) AS ce_score, row_number() OVER (PARTITION BY qa_id, sentence_id ORDER BY round(ent, 9) DESC, rk, pmid)::INT AS rank_after_rerank FROM st QUALIFY rank_after_rerank <= 3")
 def _(s, d):
     st = B.stance(s, d).select("qa_id", "sentence_id", "pmid", F.col("bm25_rank").alias("rk"), F.col("entailment_prob").alias("ce_score"))
-    return rounded(RT.rerank_topk(st, ["qa_id", "sentence_id"], 3, "rk"))
+    return rounded(RT.rerank_topk(st, ["qa_id", "sentence_id"], 3, ["rk", "pmid"]))
 
 
 @query("passthrough_rerank", f"{S_BASE}, {s_bm25('hit', 'qt', 'qa_id', 100)} SELECT qa_id, pmid, rank::INT AS rank, round(bm25_score, 6) AS bm25_score, round(bm25_score, 6) AS ce_score, rank::INT AS rank_after_rerank FROM hit WHERE rank <= 30")
@@ -320,7 +333,7 @@ def _(s, d):
     return _select(s, d, False)
 
 
-@query("validate_violations", f"""WITH {S_STANCE}, p AS (SELECT qa_id, sentence_id, CASE WHEN ent >= 0.5 THEN 'support' ELSE 'contradict' END AS class, pmid FROM st WHERE rk % 3 = 0),
+@query("validate_violations", f"""WITH {S_STANCE}, p AS (SELECT qa_id, sentence_id, CASE WHEN ent >= 0.5 THEN 'support' ELSE 'contradict' END AS class, pmid FROM st),
 n AS (SELECT qa_id, sentence_id, class, pmid, count(*) AS n FROM p GROUP BY ALL)
 SELECT qa_id, sentence_id, class, NULL AS pmid, 'over_cap' AS rule FROM n GROUP BY ALL HAVING sum(n) > 3 UNION ALL SELECT qa_id, sentence_id, class, pmid, 'duplicate' FROM n WHERE n > 1
 UNION ALL SELECT qa_id, sentence_id, class, pmid, 'reused' FROM n WHERE (qa_id, pmid) IN (SELECT (qa_id, pmid) FROM n GROUP BY qa_id, pmid HAVING count(*) > 1)
@@ -328,7 +341,7 @@ UNION ALL SELECT qa_id, sentence_id, class, pmid, 'not_in_corpus' FROM n WHERE p
 UNION ALL SELECT qa_id, sentence_id, class, pmid, 'existing' FROM n SEMI JOIN (SELECT DISTINCT qa_id, sentence_id, pmid FROM st WHERE rk % 17 = 0) USING (qa_id, sentence_id, pmid)""")
 def _(s, d):
     st = B.stance(s, d)
-    picks = st.filter("bm25_rank % 3 = 0").withColumn("class", F.when(F.col("entailment_prob") >= 0.5, "support").otherwise("contradict"))
+    picks = st.withColumn("class", F.when(F.col("entailment_prob") >= 0.5, "support").otherwise("contradict"))
     corpus = B.table(s, d, "supplier").filter("s_suppkey % 10 <> 0").select(F.col("s_suppkey").cast("string").alias("pmid"))
     return SE.violations(picks, corpus, st.filter("bm25_rank % 17 = 0"))
 

@@ -2,36 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as T
 
-#: Element names are those of the public citation format; every field is a string, so ids keep their zeros.
-ARTICLE_XML = """MedlineCitation struct<
-  PMID: string,
-  Article: struct<
-    Journal: struct<Title: string, JournalIssue: struct<PubDate: struct<Year: string, Month: string, MedlineDate: string>>>,
-    ArticleTitle: string,
-    Abstract: struct<AbstractText: array<struct<_Label: string, _VALUE: string>>>>,
-  MeshHeadingList: struct<MeshHeading: array<struct<DescriptorName: struct<_UI: string>>>>>"""
 ARTICLE = "pmid string, title string, abstract string, mesh array<string>, pubdate string, journal string, empty_abstract boolean"
+ROW = "PubmedArticle"
+#: An opening tag with any attributes, but no empty element.
+OPEN = r"<{0}(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/))?>"
 
 
-def _shape(raw: DataFrame) -> DataFrame:
-    a, d = "MedlineCitation.Article", "MedlineCitation.Article.Journal.JournalIssue.PubDate"
-    parts = F.transform(F.coalesce(f"{a}.Abstract.AbstractText", F.array().cast("array<struct<_Label:string,_VALUE:string>>")), lambda p: F.when(T.strip_markup(p["_VALUE"]) == "", F.lit("")).when(F.coalesce(p["_Label"], F.lit("")) != "", F.concat(p["_Label"], F.lit(": "), T.strip_markup(p["_VALUE"]))).otherwise(T.strip_markup(p["_VALUE"])))
-    abstract = F.array_join(F.filter(parts, lambda x: x != ""), " ")
-    mesh = F.filter(F.transform(F.coalesce("MedlineCitation.MeshHeadingList.MeshHeading", F.array().cast("array<struct<DescriptorName:struct<_UI:string>>>")), lambda m: m["DescriptorName"]["_UI"]), lambda u: F.coalesce(u, F.lit("")) != "")
-    return raw.select(
-        T.strip_markup(F.col("MedlineCitation.PMID")).alias("pmid"), T.strip_markup(F.col(f"{a}.ArticleTitle")).alias("title"), abstract.alias("abstract"), mesh.alias("mesh"),
-        T.pubdate(F.col(f"{d}.Year"), F.col(f"{d}.Month"), F.col(f"{d}.MedlineDate")).alias("pubdate"), T.strip_markup(F.col(f"{a}.Journal.Title")).alias("journal"), (abstract == "").alias("empty_abstract"),
-    ).filter("pmid <> ''")
+def _plain(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+
+
+def _inner(xml: Column, path: str) -> Column:
+    """All text inside the first element of a path, inline markup flattened and entities resolved; '' if there is none."""
+    return _plain(F.xpath_string(xml, F.lit(path)))
+
+
+def shape_article(xml: Column) -> list[Column]:
+    """The fields of ARTICLE from a record's XML."""
+    top = f"{ROW}/MedlineCitation"
+    journal, date = f"{top}/Article/Journal", f"{top}/Article/Journal/JournalIssue/PubDate"
+    found = F.regexp_extract(xml, r"(?s)<Abstract(?:\s[^>]*)?>(.*?)</Abstract>", 1)
+    parts = F.regexp_extract_all(found, F.lit("(?s)" + OPEN.format("AbstractText") + ".*?</AbstractText>"), F.lit(0))
+
+    def section(part: Column) -> Column:
+        label, body = F.xpath_string(part, F.lit("AbstractText/@Label")), _inner(part, "AbstractText")
+        return F.when(F.coalesce(label, F.lit("")) != "", F.concat(label, F.lit(": "), body)).otherwise(body)
+
+    abstract = _plain(F.array_join(F.filter(F.transform(parts, section), lambda x: x != ""), " "))
+    mesh = F.filter(F.xpath(xml, F.lit(f"{top}/MeshHeadingList/MeshHeading/DescriptorName/@UI")), lambda u: u != "")
+    pubdate = T.pubdate(_inner(xml, f"{date}/Year"), _inner(xml, f"{date}/Month"), _inner(xml, f"{date}/MedlineDate"))
+    return [
+        _inner(xml, f"{top}/PMID").alias("pmid"), _inner(xml, f"{top}/Article/ArticleTitle").alias("title"), abstract.alias("abstract"), mesh.alias("mesh"),
+        pubdate.alias("pubdate"), _inner(xml, f"{journal}/Title").alias("journal"), (abstract == "").alias("empty_abstract"),
+    ]
 
 
 def read_articles_xml(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Articles of XML files (.xml, .xml.gz), read in parallel by row tag; rows without an id go."""
-    return _shape(spark.read.format("xml").option("rowTag", "PubmedArticle").schema(ARTICLE_XML).load(path))
+    """Articles of XML files (.xml, .xml.gz; folders with all below them); rows without an id go.
+
+    Files are read as text cut at each record's end tag, so that large plain files
+    are split, and each record is parsed on its own: mixed content keeps all text.
+    """
+    raw = spark.read.option("lineSep", f"</{ROW}>").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{xml,xml.gz}").text(path)
+    body = F.regexp_extract("value", rf"(?s)<{ROW}(?:\s[^>]*)?>.*", 0)
+    rows = raw.select(body.alias("body")).filter("body <> ''").select(F.concat("body", F.lit(f"</{ROW}>")).alias("xml"))
+    return rows.select(*shape_article(F.col("xml"))).filter("pmid <> ''")
 
 
 def read_articles_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
