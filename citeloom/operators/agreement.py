@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed: the labels, in their reported order.
 LABELS = ("Supports", "Contradicts", "Neutral", "Not relevant")
 
 
@@ -59,8 +60,20 @@ def pairwise_agreement(ratings: DataFrame, unit: list[str]) -> DataFrame:
     return cohens_kappa(a.join(b, unit).filter("a_rater < b_rater"), ["a_rater", "b_rater"])
 
 
+def check_ratings(ratings: DataFrame, labels: tuple[str, ...] = LABELS, complete: bool = True) -> None:
+    """Raise ValueError for fewer than two coders, coders of unlike numbers of units (unless not complete), or a label that isn't known."""
+    counts = ratings.groupBy("coder").agg(F.count("*").alias("n"), F.count_if(F.col("label").isNotNull() & ~F.col("label").isin(*labels)).alias("odd"))
+    got = counts.agg(F.count("*").alias("coders"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("odd").alias("odd")).first()
+    if got["coders"] < 2:
+        raise ValueError(f"{got['coders']} coders, at least 2 needed")
+    if complete and got["least"] != got["most"]:
+        raise ValueError(f"ragged ratings: {got['least']} to {got['most']} units a coder")
+    if got["odd"]:
+        raise ValueError(f"{got['odd']} labels that aren't among {labels}")
+
+
 def krippendorff_alpha(ratings: DataFrame, drop_singletons: bool = False) -> DataFrame:
-    """One row (n, alpha) of nominal ratings (unit, coder, label); null labels are missing.
+    """One row (n, alpha) of nominal ratings (unit, coder, label); null labels are missing (check_ratings raises for bad input).
 
     Units with one label count in the margins unless drop_singletons. Fewer than two
     labels, or no expected disagreement, give 1.

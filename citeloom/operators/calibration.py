@@ -1,22 +1,41 @@
 """Calibration of confidences: reliability bins, ECE, isotonic fits, k-fold ECE.
 
 Pairs are (confidence, correct) with optional group columns `by`, so that many
-judges and folds are fitted by one plan. The isotonic fit is the closed form of
-pool-adjacent-violators over tie-pooled points: a block ends at i if the largest
-mean of a run that ends at i is at most the least mean of a run that starts after
-it. Distinct confidences of a group meet pairwise there, so they are rounded to
-`digits` first: at most 10**digits + 1 points a group, whatever the table's size.
+judges and folds are fitted by one plan. The isotonic fit pools adjacent violators
+over points tied by their exact confidence. Pooling may be done in any order, so
+slices of each group's range are pooled on their own first, by as many tasks as
+there are slices, and the blocks that remain are pooled once more.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from citeloom.functions import text as T
 
-DIGITS = 3
+#: Slices of the range of confidences.
+SLICES = 512
+
+
+def pooled(x: np.ndarray, n: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block end, size, sum) of the least-squares increasing fit to means s / n in order of x; sums are integers, compared exactly."""
+    ends: list[float] = []
+    sizes: list[int] = []
+    sums: list[int] = []
+    for end, size, total in zip(x.tolist(), n.tolist(), s.tolist(), strict=True):
+        # Only violations are pooled; equal means stay two blocks.
+        while sums and sums[-1] * size > total * sizes[-1]:
+            ends.pop()
+            size += sizes.pop()
+            total += sums.pop()
+        ends.append(end)
+        sizes.append(size)
+        sums.append(total)
+    return np.array(ends, float), np.array(sizes, np.int64), np.array(sums, np.int64)
 
 
 def reliability_bins(pairs: DataFrame, n_bins: int = 10, by: list[str] | None = None) -> DataFrame:
@@ -35,25 +54,21 @@ def ece(bins: DataFrame, by: list[str] | None = None) -> DataFrame:
     return bins.groupBy(*(by or [])).agg(F.when(n > 0, F.sum(F.col("n") * F.abs(F.col("mean_conf") - F.col("mean_correct"))) / n).otherwise(F.lit(0.0)).alias("ece"))
 
 
-def isotonic_fit(pairs: DataFrame, by: list[str] | None = None, digits: int = DIGITS) -> DataFrame:
+def isotonic_fit(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by, x, y): block ends and values of the increasing fit."""
-    by = by or []
-    tied = pairs.groupBy(*by, F.round(F.col("confidence").cast("double"), digits).alias("x")).agg(F.count("*").alias("n"), F.sum(F.col("correct").cast("long")).alias("s"))
-    run = W.partitionBy(*by).orderBy("x") if by else W.partitionBy(F.lit(0)).orderBy("x")
-    p = tied.withColumn("i", F.row_number().over(run)).withColumn("cn", F.sum("n").over(run)).withColumn("cs", F.sum("s").over(run))
-    p = p.select(*by, "i", "x", "cn", "cs", (F.col("cn") - F.col("n")).alias("bn"), (F.col("cs") - F.col("s")).alias("bs"))
-    left, right = p.select(*by, F.col("i").alias("j"), F.col("bn").alias("jn"), F.col("bs").alias("js")), p.select(*by, F.col("i").alias("k"), F.col("cn").alias("kn"), F.col("cs").alias("ks"))
-    one = F.lit(1).alias("_g")
     keys = by or ["_g"]
-    if not by:
-        p, left, right = p.select("*", one), left.select("*", one), right.select("*", one)
-    # Means as exact fractions, compared after one division of integers below 2**53.
-    ends = p.join(left, keys).filter("j <= i").groupBy(*keys, "i").agg(F.max((F.col("cs") - F.col("js")) / (F.col("cn") - F.col("jn"))).alias("up"))
-    starts = p.join(right, keys).filter("k > i").groupBy(*keys, "i").agg(F.min((F.col("ks") - F.col("cs")) / (F.col("kn") - F.col("cn"))).alias("down"))
-    out = p.join(ends, [*keys, "i"]).join(starts, [*keys, "i"], "left").filter("down is null or up <= down")
-    order = W.partitionBy(*keys).orderBy("i")
-    value = (F.col("cs") - F.coalesce(F.lag("cs").over(order), F.lit(0))) / (F.col("cn") - F.coalesce(F.lag("cn").over(order), F.lit(0)))
-    return out.withColumn("y", value).select(*by, "x", "y")
+    rows = pairs if by else pairs.withColumn("_g", F.lit(0))
+    tied = rows.filter("confidence is not null").groupBy(*keys, F.col("confidence").cast("double").alias("x")).agg(F.count("*").alias("n"), F.sum(F.col("correct").cast("long")).alias("s"))
+    tied = tied.withColumn("slice", F.least(F.lit(SLICES - 1), F.greatest(F.lit(0), F.floor(F.col("x") * SLICES))).cast("int"))
+    schema = ST.StructType([*(tied.schema[k] for k in keys), *(tied.schema[c] for c in ("x", "n", "s"))])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("x")
+        x, n, s = pooled(pdf["x"].to_numpy(), pdf["n"].to_numpy(), pdf["s"].to_numpy())
+        return pd.DataFrame({k: pdf[k].iloc[0] for k in keys} | {"x": x, "n": n, "s": s}, columns=schema.names)
+
+    blocks = tied.groupBy(*keys, "slice").applyInPandas(run, schema).groupBy(*keys).applyInPandas(run, schema)
+    return blocks.select(*(by or []), "x", (F.col("s") / F.col("n")).alias("y"))
 
 
 def isotonic_apply(points: DataFrame, fit: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -97,10 +112,18 @@ def kfold_ece(records: DataFrame, k: int = 5, n_bins: int = 10) -> DataFrame:
 
 
 def calibration_summary(records: DataFrame, n_bins: int = 10) -> DataFrame:
-    """(backend, n, accuracy, mean_confidence, ece_raw, ece_in_sample) of (backend, confidence, correct)."""
+    """(backend, n, accuracy, mean_confidence, ece_raw, ece_in_sample) of (backend, confidence, correct), and ece_kfold where records name their topic (qa_id, gold, pred)."""
     by = ["backend"]
     base = records.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.col("correct").cast("double")).alias("accuracy"), F.avg("confidence").alias("mean_confidence"))
     raw = ece(reliability_bins(records, n_bins, by), by).withColumnRenamed("ece", "ece_raw")
     applied = isotonic_apply(records, isotonic_fit(records, by), by)
     cal = ece(reliability_bins(applied.select("backend", F.col("calibrated").alias("confidence"), "correct"), n_bins, by), by).withColumnRenamed("ece", "ece_in_sample")
-    return base.join(raw, by).join(cal, by)
+    out = base.join(raw, by).join(cal, by)
+    if not {"qa_id", "gold", "pred"} <= set(records.columns):
+        return out
+    names = [r["backend"] for r in records.select("backend").distinct().collect()]  # the registered judges, a handful
+    folds = None
+    for name in names:
+        one = kfold_ece(records.filter(F.col("backend") == name), n_bins=n_bins).select(F.lit(name).alias("backend"), F.col("cal_mean").alias("ece_kfold"))
+        folds = one if folds is None else folds.unionByName(one)
+    return out.withColumn("ece_kfold", F.lit(None).cast("double")) if folds is None else out.join(folds, by, "left")

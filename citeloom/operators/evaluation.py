@@ -36,15 +36,28 @@ def prf_cells(cells: DataFrame, predictions: DataFrame, pos: DataFrame, keys: li
     cells: (run, keys); predictions: (run, keys, pmid); pos: (setting, keys, pmid).
     A cell without positives counts as zeros if something is predicted there and
     unjudged_as_zero; otherwise it is dropped.
+
+    No joins: what is predicted and what is judged meet in one aggregation by
+    (keys, pmid); its rows are summed by (keys, run), and those few by keys.
     """
     run = run or []
-    pred = predictions.select(*run, *keys, "pmid").distinct()
-    per_pred = pred.groupBy(*run, *keys).agg(F.count("*").alias("n_pred"))
-    p = pos.select("setting", *keys, "pmid").distinct()
-    per_pos = p.groupBy("setting", *keys).agg(F.count("*").alias("n_pos"))
-    hit = pred.join(p, [*keys, "pmid"]).groupBy(*run, "setting", *keys).agg(F.count("*").alias("tp"))
-    every = cells.select(*run, *keys).distinct().withColumn("setting", F.explode(F.array(*map(F.lit, SETTINGS))))
-    out = every.join(per_pred, [*run, *keys], "left").join(per_pos, ["setting", *keys], "left").join(hit, [*run, "setting", *keys], "left").fillna(0, ["n_pred", "n_pos", "tp"])
+    name = F.struct(*(F.col(c) for c in run)) if run else F.struct(F.lit(0).alias("_"))
+    kind = cells.select(name.alias("r")).schema["r"].dataType
+    nobody = F.lit(None).cast(kind)
+    zero = F.lit(0).cast("long")
+    said = predictions.select(*keys, "pmid", name.alias("r"), zero.alias("s"), zero.alias("x"))
+    flag = lambda setting: F.when(F.col("setting") == setting, 1).otherwise(0).cast("long")
+    judged = pos.select(*keys, "pmid", nobody.alias("r"), flag("strict").alias("s"), flag("relaxed").alias("x"))
+    met = said.unionByName(judged).groupBy(*keys, "pmid").agg(F.collect_set("r").alias("rs"), F.max("s").alias("s"), F.max("x").alias("x"))
+    each = met.select(*keys, "s", "x", F.explode(F.concat(F.array(nobody), "rs")).alias("r")).withColumn("cell", F.lit(0)).withColumn("n", F.lit(1).cast("long"))
+    have = cells.select(*keys, zero.alias("s"), zero.alias("x"), name.alias("r"), F.lit(1).alias("cell"), zero.alias("n"))
+    sums = each.unionByName(have).groupBy(*keys, "r").agg(F.max("cell").alias("cell"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("x").alias("x"))
+    runs = F.collect_list(F.when(F.col("r").isNotNull() & (F.col("cell") == 1), F.struct("r", "n", "s", "x"))).alias("runs")
+    whole = lambda c: F.coalesce(F.sum(F.when(F.col("r").isNull(), F.col(c))), F.lit(0)).alias("all_" + c)
+    out = sums.groupBy(*keys).agg(runs, whole("s"), whole("x")).select("*", F.explode("runs").alias("o"))
+    both = F.array(F.struct(F.lit("strict").alias("setting"), F.col("all_s").alias("n_pos"), F.col("o.s").alias("tp")), F.struct(F.lit("relaxed").alias("setting"), F.col("all_x").alias("n_pos"), F.col("o.x").alias("tp")))
+    out = out.select(*keys, "o", F.explode(both).alias("b"))
+    out = out.select(*(F.col(f"o.r.{c}").alias(c) for c in run), "b.setting", *keys, F.col("o.n").alias("n_pred"), "b.n_pos", "b.tp")
     out = out.filter((F.col("n_pos") > 0) | ((F.col("n_pred") > 0) & F.lit(unjudged_as_zero)))
     share = lambda n: F.when(F.col(n) > 0, F.col("tp") / F.col(n)).otherwise(F.lit(0.0))
     f1 = F.when(F.col("tp") > 0, 2.0 * F.col("tp") / (F.col("n_pred") + F.col("n_pos"))).otherwise(F.lit(0.0))
@@ -107,19 +120,35 @@ def run_summary(macro_by_pool: DataFrame) -> DataFrame:
     return out.select("run", *slots, *[F.round(F.col(f"expanded_{c}") - F.col(f"official_{c}"), 4).alias(f"delta_{c}") for c in CLASSES])
 
 
+#: Pools in the order in which a variant's scores are looked for.
+POOLS = ("intersection", "expanded", "official")
+
+
+def first_pool(topics: DataFrame) -> DataFrame:
+    """Of scores (run, pool, ...) each run's rows of its first pool there is: intersection, expanded, official."""
+    place = F.array_position(F.array(*map(F.lit, POOLS)), F.col("pool"))
+    best = topics.filter(place > 0).groupBy("run").agg(F.min(place).alias("_best"))
+    return topics.join(best, "run").filter(place == F.col("_best")).drop("_best")
+
+
 def by_topic_matrix(topics: DataFrame, variants: list[str], cls: str = "support") -> DataFrame:
-    """Topics by variants: strict F1 x 100, topics in numeric order."""
+    """Topics by variants: strict F1 x 100, topics in numeric order; with a pool column, of each variant's first pool there is."""
+    topics = first_pool(topics) if "pool" in topics.columns else topics
     on = (F.col("setting") == "strict") & (F.col("class") == cls)
     return topics.filter(on).groupBy("qa_id").pivot("run", variants).agg(F.first(F.round(F.col("F1") * 100, 4))).orderBy(*T.numeric_order(F.col("qa_id")))
 
 
-def leaderboard(macro_: DataFrame, least_support: float = 60.0, least_contradict: float = 10.0) -> DataFrame:
+#: Floors of the leaderboard, reported baseline scores and their band.
+LEAST_SUPPORT, LEAST_CONTRADICT, BASE_SUPPORT, BASE_CONTRADICT, BAND = 60.0, 10.0, 44.34, 4.67, 2.0
+
+
+def leaderboard(macro_: DataFrame, least_support: float = LEAST_SUPPORT, least_contradict: float = LEAST_CONTRADICT) -> DataFrame:
     """(run, support, contradict, passed): strict F1 x 100 against two floors."""
     s = macro_.filter("setting = 'strict'").groupBy("run").pivot("class", list(CLASSES)).agg(F.first(F.col("F1") * 100))
     return s.select("run", F.round("support", 4).alias("support"), F.round("contradict", 4).alias("contradict"), ((F.col("support") >= least_support) & (F.col("contradict") >= least_contradict)).alias("passed"))
 
 
-def baseline_gate(macro_: DataFrame, support: float = 44.34, contradict: float = 4.67, within: float = 2.0) -> DataFrame:
+def baseline_gate(macro_: DataFrame, support: float = BASE_SUPPORT, contradict: float = BASE_CONTRADICT, within: float = BAND) -> DataFrame:
     s = macro_.filter("setting = 'strict'").groupBy("run").pivot("class", list(CLASSES)).agg(F.first(F.col("F1") * 100))
     return s.select("run", ((F.abs(F.col("support") - support) <= within) & (F.abs(F.col("contradict") - contradict) <= within)).alias("within"))
 

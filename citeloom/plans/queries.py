@@ -606,7 +606,7 @@ def _(s, d):
 f AS (SELECT backend, sum(n * abs(a - c)) / sum(n) AS cal FROM (SELECT backend, count(*) AS n, avg(calibrated) AS a, avg(correct) AS c FROM cal GROUP BY backend, least(9, trunc(calibrated * 10.0))) GROUP BY backend)
 SELECT backend, count(*) AS n, round(avg(correct), 6) AS accuracy, round(avg(confidence), 6) AS mean_confidence, (SELECT round(sum(n * abs(mean_conf - mean_correct)) / sum(n), 6) FROM bins b WHERE b.backend = rc.backend) AS ece_raw, (SELECT round(cal, 6) FROM f WHERE f.backend = rc.backend) AS ece_in_sample FROM rc GROUP BY backend""")
 def _(s, d):
-    return rounded(CA.calibration_summary(_pairs(s, d)))
+    return rounded(CA.calibration_summary(_pairs(s, d).drop("qa_id")))
 
 
 # ---- resampling -------------------------------------------------------------
@@ -618,17 +618,17 @@ def _one(s, d):
     return B.records(s, d).filter("backend = 'openai-gpt-4o-mini'")
 
 
-@query("bootstrap_mean_ci", f"""WITH {S_REC}, {S_ONE}, dr AS (SELECT it, {S_HASH.format("'0|' || it || '|' || d")} % (SELECT count(*) FROM one) AS i FROM range(40) a(it), range((SELECT count(*) FROM one)) b(d)),
-m AS (SELECT it, avg(confidence) AS mean FROM dr JOIN one USING (i) GROUP BY it), v AS (SELECT list_sort(list(mean)) AS v FROM m) SELECT round(v[2], 6) AS lo, round(v[40], 6) AS hi FROM v""")
+@query("bootstrap_mean_ci", f"""WITH {S_REC}, {S_ONE}, dr AS (SELECT it, {S_HASH.format("'0|' || it || '|' || d")} % (SELECT count(*) FROM one) AS i FROM range(1000) a(it), range((SELECT count(*) FROM one)) b(d)),
+m AS (SELECT it, avg(confidence) AS mean FROM dr JOIN one USING (i) GROUP BY it), v AS (SELECT list_sort(list(mean)) AS v FROM m) SELECT round(v[26], 6) AS lo, round(v[976], 6) AS hi FROM v""")
 def _(s, d):
-    return rounded(RS.percentile_ci(RS.bootstrap_mean(_one(s, d), "confidence", ["doc_id"], 40), "mean"))
+    return rounded(RS.percentile_ci(RS.bootstrap_mean(_one(s, d), "confidence", ["doc_id"]), "mean"))
 
 
-@query("bootstrap_wf1_ci", f"""WITH {S_REC}, {S_ONE}, dr AS (SELECT it, {S_HASH.format("'0|' || it || '|' || d")} % (SELECT count(*) FROM one) AS i FROM range(40) a(it), range((SELECT count(*) FROM one)) b(d)), sm AS (SELECT it, gold, pred FROM dr JOIN one USING (i)),
+@query("bootstrap_wf1_ci", f"""WITH {S_REC}, {S_ONE}, dr AS (SELECT it, {S_HASH.format("'0|' || it || '|' || d")} % (SELECT count(*) FROM one) AS i FROM range(1000) a(it), range((SELECT count(*) FROM one)) b(d)), sm AS (SELECT it, gold, pred FROM dr JOIN one USING (i)),
 sc AS (SELECT it, l.label, count(*) FILTER (gold = l.label) AS support, count(*) FILTER (pred = l.label) AS predicted, count(*) FILTER (gold = l.label AND pred = l.label) AS tp FROM sm, (VALUES ('Supports'), ('Contradicts')) l(label) GROUP BY ALL),
-m AS (SELECT it, sum(CASE WHEN tp > 0 THEN 2.0 * tp / (support + predicted) ELSE 0 END * support) / sum(support) AS w FROM sc GROUP BY it), v AS (SELECT list_sort(list(w)) AS v FROM m) SELECT round(v[2], 6) AS lo, round(v[40], 6) AS hi FROM v""")
+m AS (SELECT it, sum(CASE WHEN tp > 0 THEN 2.0 * tp / (support + predicted) ELSE 0 END * support) / sum(support) AS w FROM sc GROUP BY it), v AS (SELECT list_sort(list(w)) AS v FROM m) SELECT round(v[26], 6) AS lo, round(v[976], 6) AS hi FROM v""")
 def _(s, d):
-    return rounded(RS.percentile_ci(RS.bootstrap_weighted_f1(_one(s, d), ["doc_id"], 40), "weighted_f1"))
+    return rounded(RS.percentile_ci(RS.bootstrap_weighted_f1(_one(s, d), ["doc_id"]), "weighted_f1"))
 
 
 @query("subsample", f"SELECT c_custkey FROM customer ORDER BY {S_HASH.format(chr(39) + '5|' + chr(39) + ' || c_custkey')}, c_custkey LIMIT (SELECT round_even(count(*) * 0.35, 0)::BIGINT FROM customer)")
@@ -641,37 +641,20 @@ def _(s, d):
     return rounded(RS.percentile_ci(B.table(s, d, "lineitem"), "l_extendedprice", by=["l_returnflag"]))
 
 
-S_SEL = "orders_ AS (SELECT o_orderkey::VARCHAR AS qa_id FROM orders WHERE o_orderstatus = 'F' AND o_orderkey < 200)"
-
-
-def _small(s, d, df):
-    o = B.table(s, d, "orders").filter("o_orderstatus = 'F' and o_orderkey < 200").select(F.col("o_orderkey").cast("string").alias("qa_id"))
-    return df.join(o, "qa_id", "left_semi")
-
-
 def _curve(s, d):
-    pool = _small(s, d, EV.positives(B.qrels(s, d)).filter("setting = 'relaxed'")).select(*CELL, "pmid")
-    cells, pred = _small(s, d, B.cells(s, d)), _small(s, d, B.predictions(s, d))
-    runs = [RS.pool_coverage(cells, pred.filter(F.col("run") == r), pool, [0.1, 0.4, 1.0], 8).withColumn("run", F.lit(r)) for r in ("a", "b")]
+    """Whole tables, all fractions and draws; too many rows for SQL, so the tests hold pool_coverage against a brute-force version."""
+    pool = EV.positives(B.qrels(s, d)).filter("setting = 'relaxed'").select(*CELL, "pmid")
+    cells, pred = B.cells(s, d), B.predictions(s, d)
+    runs = [RS.pool_coverage(cells, pred.filter(F.col("run") == r), pool, RS.FRACTIONS, RS.ITERATIONS).withColumn("run", F.lit(r)) for r in ("a", "b")]
     return runs[0].unionByName(runs[1])
 
 
-S_CURVE = f"""WITH {S_POS}, {S_PRED}, {S_SEL}, pl AS (SELECT DISTINCT qa_id, sentence_id, class, pmid FROM pos SEMI JOIN orders_ USING (qa_id) WHERE setting = 'relaxed'), nn AS (SELECT count(*) AS n FROM pl),
-rk AS (SELECT it, qa_id, sentence_id, class, pmid, row_number() OVER (PARTITION BY it ORDER BY {S_HASH.format("'0|' || it || '|' || qa_id || '|' || sentence_id || '|' || class || '|' || pmid")}, qa_id, sentence_id, class, pmid) AS place FROM pl, range(8) r(it)),
-sp AS (SELECT it, fraction, qa_id, sentence_id, class, pmid FROM rk, (VALUES (0.1::DOUBLE), (0.4), (1.0)) f(fraction), nn WHERE place <= greatest(1, round_even(n * fraction, 0))),
-pr AS (SELECT DISTINCT run, qa_id, sentence_id, class, pmid FROM pred SEMI JOIN orders_ USING (qa_id)),
-cl AS (SELECT run, qa_id, sentence_id, class, (SELECT count(*) FROM pr WHERE pr.run = runs.run AND pr.qa_id = cells.qa_id AND pr.sentence_id = cells.sentence_id AND pr.class = cells.class) AS n_pred FROM cells SEMI JOIN orders_ USING (qa_id), runs),
-np AS (SELECT it, fraction, qa_id, sentence_id, class, count(*) AS n_pos FROM sp GROUP BY ALL), tp AS (SELECT run, it, fraction, qa_id, sentence_id, class, count(*) AS tp FROM sp JOIN pr USING (qa_id, sentence_id, class, pmid) GROUP BY ALL),
-fx AS (SELECT run, it, fraction, class, CASE WHEN coalesce(n_pos, 0) = 0 THEN 0.0 ELSE 2.0 * coalesce(tp, 0) / (n_pred + n_pos) END AS f1 FROM cl CROSS JOIN (SELECT DISTINCT it, fraction FROM sp) g LEFT JOIN np USING (it, fraction, qa_id, sentence_id, class) LEFT JOIN tp USING (run, it, fraction, qa_id, sentence_id, class) WHERE n_pos > 0 OR n_pred > 0),
-curve AS (SELECT run, fraction, it, class, avg(f1) AS f1 FROM fx GROUP BY ALL)"""
-
-
-@query("pool_coverage_curve", f"{S_CURVE} SELECT run, fraction, it, class, round(f1, 6) AS f1 FROM curve")
+@query("pool_coverage_curve")
 def _(s, d):
     return rounded(_curve(s, d))
 
 
-@query("pool_bias_delta", f"{S_CURVE}, m AS (SELECT run, class, avg(f1) FILTER (fraction = 1.0) - avg(f1) FILTER (fraction = 0.1) AS delta FROM curve GROUP BY ALL) SELECT run, class, round(delta, 6) AS delta, row_number() OVER (PARTITION BY class ORDER BY round(delta, 9) DESC, run)::INT AS place FROM m")
+@query("pool_bias_delta")
 def _(s, d):
     m = _curve(s, d).groupBy("run", "fraction", "class").agg(F.avg("f1").alias("mean"))
     return rounded(RS.bias_delta(m))
