@@ -116,6 +116,44 @@ def chat_messages(system: str, user: Column) -> Column:
     return F.to_json(F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content"))))
 
 
+#: What the models are asked, in our own words; other wordings may be passed.
+JUDGE_ASKED = "Judge how an abstract bears on an answer sentence. Choose Supports, Contradicts, Neutral or Not relevant, and say how sure you are. Reply with JSON only: an object with the fields label and confidence (0 to 1)."
+FILTER_ASKED = "Decide whether an abstract is about the same topic as an answer sentence, so that it could help to check it; it need not state the claim. Reply with JSON only: an object with the boolean field relevant."
+REWRITE_ASKED = "Write short keyword queries for a literature search that would find evidence for or against a sentence, each in other terms. Reply with JSON only: an object with the field queries, a list of strings."
+
+
+def _stripped(c: Column) -> Column:
+    return F.trim(F.coalesce(c, F.lit("")), F.lit(" \t\n\r"))
+
+
+def _sentence_and_abstract(sentence: Column, abstract: Column, tokens: int) -> Column:
+    return F.concat(F.lit("Answer sentence:\n"), _stripped(sentence), F.lit("\n\nAbstract:\n"), truncate_tokens(abstract, tokens))
+
+
+def judge_messages(sentence: Column, abstract: Column, system: str = JUDGE_ASKED, tokens: int = 3000) -> Column:
+    """The messages of a judge's call, as JSON."""
+    return chat_messages(system, _sentence_and_abstract(sentence, abstract, tokens))
+
+
+def filter_messages(sentence: Column, abstract: Column, system: str = FILTER_ASKED, tokens: int = 250) -> Column:
+    return chat_messages(system, _sentence_and_abstract(sentence, abstract, tokens))
+
+
+def rewrite_messages(question: Column, sentence: Column, n: int = 3, system: str = REWRITE_ASKED) -> Column:
+    user = F.concat(F.lit("Question: "), _stripped(question), F.lit("\nAnswer sentence: "), _stripped(sentence), F.lit(f"\n\nWrite {n} varied search queries that target the claim."))
+    return chat_messages(system, user)
+
+
+def parse_relevant(reply: Column) -> Column:
+    """Whether a reply says {"relevant": true}; replies that can't be read say no."""
+    return F.coalesce(F.lower(F.get_json_object(json_span(F.coalesce(reply, F.lit(""))), "$.relevant")) == "true", F.lit(False))
+
+
+def premise(abstract: Column, sentence: Column) -> Column:
+    """Fixed: the input of a text-to-text model for natural language inference."""
+    return F.concat(F.lit("mednli: premise: "), F.coalesce(abstract, F.lit("")), F.lit(" hypothesis: "), F.coalesce(sentence, F.lit("")))
+
+
 def judge_cost(backend: Column, tokens_in: Column, tokens_out: Column, prices: dict | None = None) -> Column:
     out = F.lit(0.0)
     for name, (a, b) in (PRICES if prices is None else prices).items():

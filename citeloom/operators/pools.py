@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as T
+from citeloom.operators.storage import write_json_atomic
 
 TRIPLE = ["qa_id", "sentence_id", "pmid"]
 KEY = [*TRIPLE, "class"]
@@ -39,6 +40,16 @@ def expanded_pool(human: DataFrame, judged: DataFrame) -> DataFrame:
     return h.unionByName(j.select(*KEY, F.lit(1).alias("relevance"), F.col("backend").alias("source"), F.round("confidence", 4).alias("confidence")))
 
 
+def write_pool(human: DataFrame, judged: DataFrame, path: str, **meta) -> int:
+    """The expanded pool as JSON lines put in place at once: human rows in their order (ord), then the judge's by key; its number of rows."""
+    h = human.select(*TRIPLE, "class", "relevance", "source", "confidence", F.lit(0).alias("_part"), F.col("ord").cast("double").alias("_ord"))
+    j = judged.select(*TRIPLE, "class", "relevance", "source", "confidence", F.lit(1).alias("_part"), F.lit(0.0).alias("_ord"))
+    both = h.unionByName(j)
+    order = ["_part", "_ord", *TRIPLE, "class"]
+    lines = both.orderBy(*order).drop("_part", "_ord")
+    return write_json_atomic(lines, path, None, {"human": h.count(), "judged": j.count()} | meta)
+
+
 def _human():
     return F.coalesce("source", F.lit("human")) == "human"
 

@@ -82,6 +82,30 @@ def order_violations(sentences: DataFrame) -> DataFrame:
     return sentences.withColumn("before", before).filter(F.col("before") >= F.col("sentence_id")).drop("before")
 
 
+def shape_violations(topics: DataFrame) -> DataFrame:
+    """(qa_id, rule) of topics read as `raw` JSON text, one a row, that don't have the official shape.
+
+    Rules: not_an_object, no_qa_id, no_answer, no_text, and for each of the three
+    lists of a sentence not_a_list (a null list of existing ids is fine).
+    """
+    v = F.try_parse_json("raw")
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    qa = F.try_variant_get(v, "$.meta_data.qa_id", "string")
+    answers = F.coalesce(F.from_json(F.get_json_object("raw", "$.answer"), "array<string>"), F.array().cast("array<string>"))
+    base = topics.select("raw", qa.alias("qa_id"), answers.alias("answers"), F.coalesce(kind("$"), F.lit("VOID")).alias("kind"))
+    out = base.filter(~F.startswith("kind", F.lit("OBJECT"))).select("qa_id", F.lit("not_an_object").alias("rule"))
+    good = base.filter(F.startswith("kind", F.lit("OBJECT")))
+    out = out.unionByName(good.filter(F.coalesce(F.trim("qa_id"), F.lit("")) == "").select("qa_id", F.lit("no_qa_id").alias("rule")))
+    out = out.unionByName(good.filter(F.size("answers") == 0).select("qa_id", F.lit("no_answer").alias("rule")))
+    s = good.select("qa_id", F.explode("answers").alias("s"))
+    out = out.unionByName(s.filter(F.coalesce(F.trim(F.get_json_object("s", "$.text")), F.lit("")) == "").select("qa_id", F.lit("no_text").alias("rule")))
+    for name in ("existing_supported_citations", "supported_citations", "contradicted_citations"):
+        got = F.trim(F.coalesce(F.get_json_object("s", f"$.{name}"), F.lit("null")))
+        fine = F.startswith(got, F.lit("[")) | (F.lit(name == "existing_supported_citations") & (got == "null"))
+        out = out.unionByName(s.filter(~fine).select("qa_id", F.lit(f"{name} not_a_list").alias("rule")))
+    return out
+
+
 def validate(picks: DataFrame, **rules) -> None:
     """Raise ValueError naming the first violation, if there is one."""
     order = ["qa_id", "sentence_id", "class", "rule", "pmid"]
