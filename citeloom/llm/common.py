@@ -7,6 +7,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,26 +38,38 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Spark then removes an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """What runs within leaves no shuffle files behind: its result is in a table or a checkpoint."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     folder = shared_folder(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
-    out = df.checkpoint(eager=True)
+    with tidy(spark):
+        out = df.checkpoint(eager=True)
     _taken[0] += 1
     if _taken[0] % RELEASE_EVERY == 0:
         release_shuffles(spark)
     return out
 
 
-def written(df: DataFrame) -> tuple[DataFrame, str]:
-    """A compressed Parquet table in the shared folder, and its path."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
 class Tables:
     """Compressed Parquet tables in the shared folder, removed when the block ends, however it ends.
 
@@ -64,7 +78,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.at = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
-        self.count = 0
+        self.count, self.paths = 0, {}
 
     def __enter__(self) -> Tables:
         return self
@@ -75,9 +89,10 @@ class Tables:
     def keep(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.at}/{self.count}"
-        df.write.option("compression", "zstd").parquet(path)
+        with tidy(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths = getattr(self, "paths", {}) | {id(out): path}
+        self.paths[id(out)] = path
         return out
 
     def drop(self, kept: DataFrame) -> None:
@@ -95,7 +110,7 @@ RELEASE_EVERY = 2
 _taken = [0]
 
 
-def release_shuffles(spark: SparkSession, wait: float = 0.0) -> None:
+def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files and checkpoints that nothing refers to any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
