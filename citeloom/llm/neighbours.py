@@ -9,10 +9,10 @@ by random hyperplanes in bands compares all vectors of unlike components that
 share a bucket, whatever the bucket's size, with so many bands that a pair at the
 threshold shares none with a probability below MISS. Members of the resulting
 components are compared in blocks of double-precision products, which counts every
-link. Recall is audited against brute force for a bounded sample of query vectors;
-while it is too low, the descent goes on with lists twice as long and the sweep is
+link. Recall is audited against brute force for all vectors whose key is divisible by
+20; while it is too low, the descent goes on with lists twice as long and the sweep is
 repeated with other hyperplanes; three such attempts in vain raise an error. Equal
-vectors are one node.
+vectors are one node, whatever their keys.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ from citeloom.llm.components import connected_components
 
 LEAF = 48
 TREES = 8
-AUDIT = 200
 #: The probability that two vectors at the threshold share no bucket of the sweep.
 MISS = 1e-7
 #: Bands of the sweep that are on disk at a time.
@@ -66,6 +65,20 @@ def _matrix(parts) -> np.ndarray:
     return np.stack([np.frombuffer(b, np.float64) for b in parts])
 
 
+def linked(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products row by row: the one sum that decides at the threshold, whatever block a pair lies in."""
+    return np.einsum("ij,ij->i", x, y)
+
+
+def links_of(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of x and y are linked; pairs within rounding of the threshold are decided by `linked`."""
+    s = x @ y.T
+    on = s >= threshold
+    i, j = np.nonzero(np.abs(s - threshold) < 1e-9)
+    on[i, j] = linked(x[i], y[j]) >= threshold
+    return on
+
+
 def _best(ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
     """The k nearest of each among these, as (src, dst, sim)."""
     s = x.astype(np.float32) @ x.astype(np.float32).T
@@ -138,7 +151,7 @@ def _confirmed(graph: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                yield pdf.loc[(_matrix(pdf["va"]) * _matrix(pdf["vb"])).sum(1) >= threshold, ["a", "b"]]
+                yield pdf.loc[linked(_matrix(pdf["va"]), _matrix(pdf["vb"])) >= threshold, ["a", "b"]]
 
     return near.join(one, "a").join(two, "b").mapInPandas(confirm, "a long, b long")
 
@@ -153,13 +166,13 @@ def choose_bands(count: int, threshold: float) -> tuple[int, int]:
 def _close(x: np.ndarray, y: np.ndarray | None, g: np.ndarray, cx: np.ndarray, cy: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j) of linked rows of unlike components: of x and y, or without y within each run of equal g of x."""
     if y is not None:
-        return np.nonzero((x @ y.T >= threshold) & (cx[:, None] != cy[None, :]))
+        return np.nonzero(links_of(x, y, threshold) & (cx[:, None] != cy[None, :]))
     starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
     sizes = np.diff(np.r_[starts, len(g)])
     one, two = [], []
     for at, n in zip(starts[sizes > 64], sizes[sizes > 64], strict=True):
         part = slice(at, at + n)
-        i, j = np.nonzero(np.triu(x[part] @ x[part].T >= threshold, 1) & (cx[part, None] != cx[None, part]))
+        i, j = np.nonzero(np.triu(links_of(x[part], x[part], threshold), 1) & (cx[part, None] != cx[None, part]))
         one.append(i + at)
         two.append(j + at)
     # Small buckets together: each row with the one `step` places after it.
@@ -167,7 +180,7 @@ def _close(x: np.ndarray, y: np.ndarray | None, g: np.ndarray, cx: np.ndarray, c
     for step in range(1, min(64, len(g))):
         i = np.flatnonzero(few[:-step] & (g[:-step] == g[step:]) & (cx[:-step] != cx[step:]))
         if len(i):
-            i = i[np.einsum("ij,ij->i", x[i], x[i + step]) >= threshold]
+            i = i[linked(x[i], x[i + step]) >= threshold]
             one.append(i)
             two.append(i + step)
     none = np.zeros(0, np.int64)
@@ -280,7 +293,7 @@ def _count_links(linked: DataFrame, threshold: float, block: int = 512) -> DataF
         right = pdf[pdf["mine"] == j]
         if not len(left) or not len(right):
             return pd.DataFrame({"id": [], "links": []})
-        on = _matrix(left["vec"]) @ _matrix(right["vec"]).T >= threshold
+        on = links_of(_matrix(left["vec"]), _matrix(right["vec"]), threshold)
         on &= left["id"].to_numpy()[:, None] != right["id"].to_numpy()[None, :]
         out = pd.DataFrame({"id": left["id"], "links": on @ right["weight"].to_numpy()})
         return out if i == j else pd.concat([out, pd.DataFrame({"id": right["id"], "links": on.T @ left["weight"].to_numpy()})])
@@ -288,72 +301,83 @@ def _count_links(linked: DataFrame, threshold: float, block: int = 512) -> DataF
     return spread.groupBy("component", "i", "j").applyInPandas(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def audit(nodes: DataFrame, linked: DataFrame, threshold: float, queries: int = AUDIT) -> float:
-    """Recall of links, for at most `queries` vectors drawn from all nodes against every row.
+def audit(nodes: DataFrame, found: DataFrame, links: DataFrame, threshold: float, block: int = 2048) -> float:
+    """Recall of links of the nodes in `asked` (a column), compared with all nodes, a block of queries at a time.
 
-    A query's recall is the share of the nodes that brute force links it with which
-    its component holds; queries of one component count as one, so that a large
-    group doesn't hide what others miss. Queries without links don't count.
+    The share of what brute force links a query with that the result counts for it;
+    queries of one component count as one, so that a large group doesn't hide what
+    others miss. Queries without links don't count.
     """
-    ask = nodes.orderBy(F.xxhash64("id")).limit(queries).select("id", "vec").collect()  # bounded by `queries`
-    if not ask:
+    ask = nodes.filter("asked").select("id", "vec")
+    blocks = math.ceil(ask.count() / block)
+    true = None
+    for i in range(blocks):
+        part = ask.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).collect()  # about `block` rows
+        if not part:
+            continue
+        ids, q = np.array([r["id"] for r in part]), _matrix([bytes(r["vec"]) for r in part])
+
+        def run(batches: Iterator[pd.DataFrame], ids=ids, q=q) -> Iterator[pd.DataFrame]:
+            total = np.zeros(len(ids), np.int64)
+            for pdf in batches:
+                for lo in range(0, len(pdf), 256):
+                    part = pdf.iloc[lo : lo + 256]
+                    on = links_of(q, _matrix(part["vec"]), threshold)
+                    on &= ids[:, None] != part["id"].to_numpy()[None, :]
+                    total += on @ part["weight"].to_numpy(np.int64)
+            some = np.flatnonzero(total)
+            yield pd.DataFrame({"id": ids[some], "n": total[some]})
+
+        got = nodes.select("id", "weight", "vec").mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+        true = got if true is None else true.unionByName(got)
+    if true is None:
         return 1.0
-    ids, q = np.array([r["id"] for r in ask]), _matrix([bytes(r["vec"]) for r in ask])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                a, b = np.nonzero(q @ _matrix(pdf["vec"]).T >= threshold)
-                other = pdf["id"].to_numpy()[b]
-                on = other != ids[a]
-                yield pd.DataFrame({"a": ids[a][on], "b": other[on]})
+    met = true.join(found.select("id", "component"), "id", "left").join(links, "id", "left")
+    each = met.groupBy(F.coalesce("component", "id").alias("c")).agg(F.avg(F.least(F.coalesce("links", F.lit(0)), "n") / F.col("n")).alias("share"))
+    recall = each.agg(F.avg("share").alias("recall")).first()["recall"]
+    return 1.0 if recall is None else recall
 
-    true = nodes.select("id", "vec").mapInPandas(run, "a long, b long")
-    label = linked.select("id", "component")
-    met = true.join(label.toDF("a", "ca"), "a", "left").join(label.toDF("b", "cb"), "b", "left")
-    each = met.groupBy("a", F.coalesce("ca", "a").alias("c")).agg((F.count_if(F.col("ca") == F.col("cb")) / F.count("*")).alias("share"))
-    got = each.groupBy("c").agg(F.avg("share").alias("share")).agg(F.avg("share").alias("recall")).first()
-    return 1.0 if got["recall"] is None else got["recall"]
 
-
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, k: int = 8, turns: int = 2, recall: float = 0.995, key: str = "vec_id", column: str = "embedding", seed: int = 3) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, k: int = 8, turns: int = 2, recall: float = 0.995, every: int = 20, key: str = "vec_id", column: str = "embedding", seed: int = 3) -> DataFrame:
     """key, n_links, component_id, kept for every row.
 
     Links: cosine >= threshold in double precision. Vectors that are null, zero or
     hold null or non-finite components link with nothing. Equal directions (bit by
-    bit) are linked without being expanded into pairs. Rows with a null key link
-    with nothing and have a null component; rows that repeat a key count each.
-    Vectors of unlike lengths raise an error, and so does an audited recall that
-    stays below ``recall``. Other columns don't matter.
+    bit) are one node, found by its digest, and are linked without being expanded
+    into pairs. Rows that repeat a key keep what their own vectors decide;
+    component_id is the least key of the rows reachable. Rows with a null key link
+    with nothing and have a null component. Vectors of unlike lengths raise an
+    error, and so does a recall that stays below ``recall``: it is audited with all
+    rows whose key is divisible by ``every`` as queries against all rows. Other
+    columns don't matter.
     """
     rows = checkpointed(_nodes(vectors, key, column))
     good = rows.filter(f"vec is not null and `{key}` is not null")
-    nodes = checkpointed(good.groupBy("digest").agg(F.min(key).cast("long").alias("id"), F.count("*").alias("weight"), F.first("vec").alias("vec")))
+    met = good.groupBy("digest").agg(F.min(key).cast("long").alias("least"), F.count("*").alias("weight"), F.first("vec").alias("vec"), F.max(F.col(key) % every == 0).alias("asked"))
+    nodes = checkpointed(met.withColumn("id", F.monotonically_increasing_id()))
     first = nodes.select(F.length("vec")).first()
     base = rows.select(key, "digest")
-    if first is None:
-        linked = None
-    else:
-        count, dims = nodes.count(), first[0] // 8
-        graph = checkpointed(_lists(_forest(nodes.select("id", "vec"), count, k, dims, seed), k))
-        for attempt in range(3):
-            for turn in range(turns):
-                found = _descend(graph, nodes.select("id", "vec"), k, attempt * turns + turn)
-                graph = checkpointed(_lists(graph.union(found), k))
-            linked = checkpointed(_linked(graph, nodes, count, dims, threshold, seed + attempt))
-            if audit(nodes, linked, threshold) >= recall:
-                break
-            # Audited recall is too low: longer lists, more trees.
-            k *= 2
-            graph = checkpointed(_lists(graph.union(_forest(nodes.select("id", "vec"), count, k, dims, seed + 1 + attempt)), k))
-        else:
-            raise RuntimeError(f"audited recall stayed below {recall}")
     if first is None:
         return base.select(key, F.lit(0).cast("long").alias("n_links"), F.col(key).alias("component_id"), F.col(key).eqNullSafe(F.col(key)).alias("kept"))
-    links = _count_links(linked, threshold)
-    # A component's least id over all rows: a node's id is the least of its equal rows already.
-    classes = nodes.select("id", "digest", "weight").join(linked.select("id", "component"), "id", "left").join(links, "id", "left")
-    classes = classes.select("digest", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "id").alias("c"))
+    count, dims = nodes.count(), first[0] // 8
+    bare = nodes.select("id", "vec")
+    graph = checkpointed(_lists(_forest(bare, count, k, dims, seed), k))
+    for attempt in range(3):
+        for turn in range(turns):
+            found = _descend(graph, bare, k, attempt * turns + turn)
+            graph = checkpointed(_lists(graph.union(found), k))
+        joined = checkpointed(_linked(graph, nodes, count, dims, threshold, seed + attempt))
+        links = checkpointed(_count_links(joined, threshold))
+        if audit(nodes, joined, links, threshold) >= recall:
+            break
+        # Audited recall is too low: longer lists, more trees.
+        k *= 2
+        graph = checkpointed(_lists(graph.union(_forest(bare, count, k, dims, seed + 1 + attempt)), k))
+    else:
+        raise RuntimeError(f"audited recall stayed below {recall}")
+    of = nodes.select("id", "digest", "weight", "least").join(joined.select("id", "component"), "id", "left").join(links, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    called = of.groupBy("component").agg(F.min("least").alias("name"))
+    classes = of.join(called, "component").select("digest", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.col("name").alias("c"))
     has_key = F.col(key).isNotNull()
     out = base.join(classes, "digest", "left").select(
         key, F.when(has_key, F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.when(has_key, F.coalesce("c", key)).alias("component_id")

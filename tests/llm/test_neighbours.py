@@ -24,6 +24,16 @@ def brute(rows, threshold):
     return {i: (links.get(i, 0), comp.get(i, i)) for i, _ in rows}
 
 
+def brute_rows(rows, threshold):
+    """(key, n_links, component) of rows that may repeat keys: brute force by place, components called by their least key."""
+    got = brute(list(enumerate(v for _, v in rows)), threshold)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        c = got[i][1]
+        least[c] = min(least.get(c, k), k)
+    return sorted((k, got[i][0], least[got[i][1]]) for i, (k, _) in enumerate(rows))
+
+
 def test_against_brute_force(spark):
     r = np.random.default_rng(5)
     x = r.standard_normal((1500, 16))
@@ -66,17 +76,37 @@ def test_groups_that_fill_each_others_lists(spark):
     assert all(got[i] == (79, 0) for i in range(80))
 
 
+def test_unlike_vectors_under_one_key(spark):
+    r = np.random.default_rng(6)
+    x = r.standard_normal((400, 24))
+    for i in range(0, 200, 4):
+        x[i + 1], x[i + 2] = x[i] + 0.05 * r.standard_normal(24), x[i]
+    rows = [(int(r.integers(0, 150)), [float(e) for e in v]) for v in x]
+    rows.append(rows[0])
+    got = neighbours.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((q.vec_id, q.n_links, q.component_id) for q in got) == brute_rows(rows, 0.95)
+
+
+def test_pairs_at_the_threshold():
+    r = np.random.default_rng(3)
+    x = r.standard_normal((300, 40))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    t = float(neighbours.linked(x[:1], x[1:2])[0])
+    for m in (2, 7, 64, 300):
+        assert neighbours.links_of(x[:m], x[:m], t)[0, 1] and neighbours.links_of(x[:m], x[:m], t)[1, 0]
+
+
 def test_audit_sees_lost_groups_beside_a_large_one(spark, monkeypatch):
     r = np.random.default_rng(4)
     centres = r.standard_normal((21, 32))
     x = np.concatenate([c + 0.001 * r.standard_normal((n, 32)) for c, n in zip(centres, [600] + [2] * 20, strict=True)])
-    nodes = spark.createDataFrame([(i, neighbours.unit(v).tobytes()) for i, v in enumerate(x)], "id long, vec binary")
-    only_large = nodes.filter("id < 600").selectExpr("id", "0L as component", "vec")
-    assert neighbours.audit(nodes, only_large, 0.95) < 0.9
-    groups = nodes.selectExpr("id", "if(id < 600, 0L, id - id % 2) as component", "vec")
-    assert neighbours.audit(nodes, groups, 0.95) == 1.0
+    nodes = spark.createDataFrame([(i, neighbours.unit(v).tobytes(), 1, True) for i, v in enumerate(x)], "id long, vec binary, weight long, asked boolean")
+    links = nodes.selectExpr("id", "if(id < 600, 599L, 1L) as links")
+    large = nodes.filter("id < 600").selectExpr("id", "0L as component")
+    assert neighbours.audit(nodes, large, links.filter("id < 600"), 0.95, block=100) < 0.9
+    groups = nodes.selectExpr("id", "if(id < 600, 0L, id - id % 2) as component")
+    assert neighbours.audit(nodes, groups, links, 0.95) == 1.0
     monkeypatch.setattr(neighbours, "audit", lambda *a: 0.5)
-    monkeypatch.setattr(neighbours, "_linked", lambda graph, nodes, *a: nodes.selectExpr("id", "id as component", "weight", "vec"))
     df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(4)], "vec_id long, embedding array<double>")
     with pytest.raises(RuntimeError):
         neighbours.near_duplicate_vectors(df, turns=0)
