@@ -237,16 +237,15 @@ def _mixed(buckets: DataFrame, labels: DataFrame | None, order: Column) -> DataF
 
 
 def _labelled(every: DataFrame, nodes: DataFrame, labels: DataFrame | None, key: str) -> DataFrame:
-    """key, n_shingles, component_id, kept of every row; a component is called by the least key of its nodes."""
-    of_node = nodes.select("id", F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("key").alias("least"))
+    """key, th, n_shingles, first (key, th) of every row: the least key, and the least hash of its texts, of the row's component."""
+    of_node = nodes.select("id", F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.struct("key", "th").alias("first"))
     if labels is not None:
-        called = labels.join(of_node.select("id", "least"), "id")
-        called = called.join(called.groupBy("component").agg(F.min("least").alias("name")), "component").select("id", "name")
-        of_node = of_node.join(called, "id", "left").withColumn("least", F.coalesce("name", "least"))
-    light = every.select(key, "n_shingles", F.when(F.col(key).isNotNull(), F.col("d1")).alias("d1"), "d2")
-    out = light.join(of_node.select("e1", "e2", "least"), (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left")
-    out = out.select(key, "n_shingles", F.coalesce("least", F.col(key)).alias("component_id"))
-    return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+        called = labels.join(of_node.select("id", "first"), "id")
+        called = called.join(called.groupBy("component").agg(F.min("first").alias("name")), "component").select("id", "name")
+        of_node = of_node.join(called, "id", "left").withColumn("first", F.coalesce("name", "first"))
+    light = every.select(key, "th", "n_shingles", F.when(F.col(key).isNotNull(), F.col("d1")).alias("d1"), "d2")
+    out = light.join(of_node.select("e1", "e2", "first"), (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left")
+    return out.select(key, "th", "n_shingles", "first")
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, part: int = 85, whole: int = 100, key: str = "doc_id", text: str = "text", star_rounds: int = 5) -> DataFrame:
@@ -259,6 +258,16 @@ def near_duplicates(docs: DataFrame, k: int = 3, part: int = 85, whole: int = 10
     stands alone, with a null component and kept. Other columns don't matter. An
     empty table gives an empty result.
     """
+    out = _grouped(docs, k, part, whole, key, text, star_rounds).select(key, "n_shingles", F.coalesce("first.key", F.col(key)).alias("component_id"))
+    return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+
+
+def leaders(docs: DataFrame, k: int = 3, part: int = 85, whole: int = 100, key: str = "doc_id", text: str = "text", star_rounds: int = 5) -> DataFrame:
+    """(key, th): the first row of each group of near-duplicates, by key, then by th, its text's xxhash64. Null keys and empty sets have no group."""
+    return _grouped(docs, k, part, whole, key, text, star_rounds).filter("first is not null").select(F.col("first.key").alias(key), F.col("first.th").alias("th")).distinct()
+
+
+def _grouped(docs: DataFrame, k: int, part: int, whole: int, key: str, text: str, star_rounds: int) -> DataFrame:
     threshold = part / whole
     rows, bands = choose_bands(threshold)
     count = rows * bands
