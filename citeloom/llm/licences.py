@@ -3,8 +3,8 @@
 A text's canonical form is lower-cased, without copyright lines, with punctuation
 and white space folded to single spaces, and with equivalent spellings made one.
 The digest of a whole text, and of each of its lines, is looked up among the
-digests of known licence texts and notices: a hash join with a table of fewer than
-200 rows. No text is cut and nothing but narrow digest rows is joined.
+digests of known licence texts and notices: a hash join with a table of a few dozen
+rows (full texts of the common licences among them, kept as digests). No text is cut and nothing but narrow digest rows is joined.
 """
 
 from __future__ import annotations
@@ -85,6 +85,40 @@ KNOWN = [
 ]
 
 
+#: Fixed: digests of the canonical forms of further licences' entire texts, as their stewards publish them: the whole
+#: file, and where it goes on after its terms, the terms alone, without and with the line that ends them.
+DIGESTS = [
+    ("Apache-2.0", "157e07fc7a377a56354ba8de489b7546"),  # whole
+    ("Apache-2.0", "723a8effc594395d684a4e20e0d4fa46"),  # terms
+    ("Apache-2.0", "1b22b13f09c7885dd689e759a0575834"),  # terms and their end
+    ("Artistic-1.0-Perl", "e2f6e734be6918a2b8c32e507e8eec6b"),  # whole
+    ("BSD-3-Clause", "ddcd765ed0a3236bf96e15f76c36983a"),  # whole
+    ("CC0-1.0", "f002af1f33b9313a1372dcaae97670ab"),  # whole
+    ("GFDL-1.2", "2ec286d7f493244d04156de708b05aaa"),  # whole
+    ("GFDL-1.3", "812f3a50e76d2666f83dd4c3fbbd5e14"),  # whole
+    ("GPL-1.0", "5036798ce47e4b74b7692d05edea2af7"),  # whole
+    ("GPL-1.0", "976e92556d982b5333b1a39ef915384f"),  # terms
+    ("GPL-1.0", "b7ea782c47477e5ee6f23b8abb62df88"),  # terms and their end
+    ("GPL-2.0", "d3ee684d8a2d63f700afda4a0c09aafc"),  # whole
+    ("GPL-2.0", "a457a4f24d02a7088b248e1ed6c2a907"),  # terms
+    ("GPL-2.0", "5d1c7199d5ea662f450e2434f1b5369b"),  # terms and their end
+    ("GPL-3.0", "3c57ead2a929d5c428065db7e5631f7a"),  # whole
+    ("GPL-3.0", "f5294f80e46fb837525225fa88cdbc0d"),  # terms
+    ("GPL-3.0", "42a8915bd33b601436b3efa40f9a37ba"),  # terms and their end
+    ("LGPL-2.0", "9cda338f607b5473d799726a63fac6ec"),  # whole
+    ("LGPL-2.0", "6abb1c138828fbc99e9a6a4cb1d334ab"),  # terms
+    ("LGPL-2.0", "bdb0471066b058551c4299a5da9b88b5"),  # terms and their end
+    ("LGPL-2.1", "9c8ddac0fb746db5ec6e21261a94f48a"),  # whole
+    ("LGPL-2.1", "24a3d76b0e8ad577697d4e2729a690f3"),  # terms
+    ("LGPL-2.1", "aca5ebf16463d30a158e98f30fc49a24"),  # terms and their end
+    ("LGPL-3.0", "d5e3e63dd48d2946274ba8e9c86bdb21"),  # whole
+    ("MPL-1.1", "33e41eb73b2b134db1e4f05906acc907"),  # whole
+    ("MPL-2.0", "a27e119cd87d765a971af4667b2bf9b1"),  # whole
+]
+#: Known digests that may be broadcast; a larger table is joined by a shuffle.
+BROADCAST = 10_000
+
+
 def _folded(line: Column) -> Column:
     out = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(line), "[^a-z0-9]+", " ")), F.lit(" "))
     for a, b in SPELLINGS:
@@ -98,24 +132,35 @@ def canonical_lines(text: Column) -> Column:
     return F.filter(F.transform(lines, _folded), lambda x: (x != "") & ~x.rlike(COPYRIGHT))
 
 
-def scan_licences(docs: DataFrame, known: list[tuple[str, str, str]] | None = None, text: str = "text") -> DataFrame:
+def known_digests(spark: SparkSession, known: list[tuple[str, str, str]], digests: list[tuple[str, str]]) -> DataFrame:
+    """(licence, digest) of known texts and known digests, each digest once."""
+    rows = spark.createDataFrame(known, "licence string, kind string, body string")
+    made = rows.select("licence", F.md5(F.array_join(canonical_lines(F.col("body")), " ")).alias("digest"))
+    return made.unionByName(spark.createDataFrame(digests, "licence string, digest string")).groupBy("digest").agg(F.min("licence").alias("licence"))
+
+
+def scan_licences(docs: DataFrame, known: list[tuple[str, str, str]] | None = None, text: str = "text", digests: list[tuple[str, str]] | None = None) -> DataFrame:
     """Add digest (of the whole text), licence (known whole text, else null) and notices (sorted ids of known lines).
 
-    A null text, or one without any canonical line, has a null digest and no
-    notices. Repeated rows stay; other columns stay but for those named like the
-    added ones. Empty tables give none.
+    known: (licence, kind, text); digests: (licence, digest of a canonical form). A
+    null text, or one without any canonical line, has a null digest and no notices.
+    Repeated rows stay; other columns stay but for those named like the added ones.
+    Empty tables give none.
     """
     spark = docs.sparkSession
-    rows = spark.createDataFrame(KNOWN if known is None else known, "licence string, kind string, body string")
-    table_ = rows.select("licence", F.md5(F.array_join(canonical_lines(F.col("body")), " ")).alias("digest")).dropDuplicates(["digest"])
+    known = KNOWN if known is None else known
+    digests = (DIGESTS if known is KNOWN else []) if digests is None else digests
+    table_ = known_digests(spark, known, digests)
     base = docs.drop("digest", "licence", "notices").withColumn("_lines", canonical_lines(F.col(text)))
     base = base.withColumn("digest", F.when(F.size("_lines") > 0, F.md5(F.array_join("_lines", " "))))
-    # Known digests are under 200: the table is broadcast for whole texts, and a literal map serves the lines.
-    ids = {r["digest"]: r["licence"] for r in table_.collect()}
+    # Lines are looked up in a literal map of the known texts, which the caller gives as a list.
+    lines = known_digests(spark, known, [])
+    ids = {r["digest"]: r["licence"] for r in lines.collect()}
     lookup = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair]) if ids else F.lit(None).cast("map<string,string>")
     found = F.filter(F.transform("_lines", lambda x: F.element_at(lookup, F.md5(x))), lambda x: x.isNotNull())
     out = base.withColumn("notices", F.coalesce(F.array_sort(F.array_distinct(found)), F.array().cast("array<string>"))).drop("_lines")
-    return out.join(F.broadcast(table_), "digest", "left").select(*[c for c in docs.columns if c not in ("digest", "licence", "notices")], "digest", "licence", "notices")
+    few = len(known) + len(digests) <= BROADCAST
+    return out.join(F.broadcast(table_) if few else table_, "digest", "left").select(*[c for c in docs.columns if c not in ("digest", "licence", "notices")], "digest", "licence", "notices")
 
 
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,9 +182,10 @@ def _sql_lines(text: str) -> str:
 
 SQL = f"""
 WITH known AS (
-  SELECT any_value(licence) AS licence, digest FROM (
+  SELECT min(licence) AS licence, digest FROM (
     SELECT licence, md5(array_to_string({_sql_lines('body')}, ' ')) AS digest
-    FROM (VALUES {', '.join("('" + i + "', '" + t.replace("'", "''") + "')" for i, _, t in KNOWN)}) AS k(licence, body)) GROUP BY digest
+    FROM (VALUES {', '.join("('" + i + "', '" + t.replace("'", "''") + "')" for i, _, t in KNOWN)}) AS k(licence, body)
+    UNION ALL SELECT * FROM (VALUES {', '.join(f"('{i}', '{d}')" for i, d in DIGESTS)}) AS g(licence, digest)) GROUP BY digest
 ), d AS (SELECT doc_id, {_sql_lines('text')} AS lines FROM documents),
 digests AS (SELECT doc_id, CASE WHEN len(lines) > 0 THEN md5(array_to_string(lines, ' ')) END AS digest FROM d),
 notes AS (
