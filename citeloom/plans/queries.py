@@ -711,10 +711,10 @@ def _(s, d):
 
 @query("flagship")
 def flagship(s, d):
-    """End to end: sentences, BM25, a stance stand-in, selection, and scores against documents that hold the passage."""
-    from citeloom.plans.pipeline import EvidenceConfig, run_evidence
+    """The baseline run end to end, with its default depths: sentences, BM25, reranking, a stance stand-in, the cue filter, selection, and scores against documents that hold the passage."""
+    from citeloom.plans.pipeline import BASELINE, run_evidence
 
     topics = B.sentences(s, d).withColumn("question", F.lit("")).withColumn("existing", F.array().cast("array<string>"))
     rel = B.relevant(s, d).select("qa_id", "pmid", F.lit("support").alias("class"), F.lit(1).alias("relevance"), F.lit("human").alias("source"), F.lit(None).cast("double").alias("confidence"), F.lit(0).alias("ord"))
     pool = topics.select("qa_id", "sentence_id").join(rel, "qa_id")
-    return rounded(run_evidence(topics, B.corpus(s, d), pool, EvidenceConfig(support_k=20, contradict_k=20)).scores)
+    return rounded(run_evidence(topics, B.corpus(s, d), pool, BASELINE).scores)
