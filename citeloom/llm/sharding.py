@@ -1,17 +1,18 @@
 """Operator 8: balanced shards by label propagation.
 
-Rows start in a shard drawn by hash. In every round each group of linked rows
-(equal texts) votes: its members move together to the shard where most of them
-are and that has room, under per-shard capacity quotas. A size class that asks for
-more than a shard has left sends so many of its hash buckets as would fill the
-room; each bucket that fits is taken, the largest groups first. Groups refused
-vote again with the quotas that are left, among the shards that can still take
-them, until no group fits anywhere. Rows without links,
-and members of groups that found no room, then fill the shards to sizes that
-differ by one at most. A group larger than nine tenths of a shard is
-first split into salted pieces. Only eight loads and a table of bounded size (shards
-times 4096 buckets) leave the executors; ranks come from per-bucket windows plus
-offsets, so no window spans the table.
+Rows start in a shard drawn by hash. Linked rows (equal texts) are a piece, which
+moves as one; a group larger than a shard is first split into salted pieces. In
+every round votes are counted anew, from the shards in which the neighbours of each
+piece are now: its own members where they started, and the pieces of its group where
+they have moved to. Each piece asks for the shard with most votes that has room,
+under per-shard capacity quotas. A size class that asks for more than a shard has
+left sends so many of its hash buckets as would fill the room; each bucket that fits
+is taken, the largest pieces first. Refused pieces vote again, until none fits
+anywhere. Rows without links, and members of pieces that found no room, then fill
+the shards to sizes that differ by one at most; ``cut_links`` tells what of the
+links the shards cut. Only eight loads and a table of bounded size (shards times 4096
+buckets) leave the executors; ranks come from per-bucket windows plus offsets, so no
+window spans the table.
 """
 
 from __future__ import annotations
@@ -31,7 +32,14 @@ def _settle(groups: DataFrame, capacity: list[int]) -> DataFrame:
     shards, spark = len(capacity), groups.sparkSession
     free, left, settled = list(capacity), groups, []
     turn = 0
+    split = groups.groupBy("h1", "h2").agg(F.count("*").alias("pieces")).filter("pieces > 1").select("h1", "h2")
+    followed = checkpointed(split)  # groups with more than one piece: larger than a shard, so fewer than shards
+    moving = not followed.isEmpty()
     while True:
+        if moving and turn:
+            # Neighbours that have moved vote where they are now.
+            moved = settled[-1].join(F.broadcast(followed), ["h1", "h2"]).groupBy("h1", "h2").agg(F.array(*[F.sum(F.when(F.col("home") == s, F.col("n")).otherwise(0)) for s in range(shards)]).alias("more"))
+            left = left.join(moved, ["h1", "h2"], "left").withColumn("votes", F.when(F.col("more").isNull(), F.col("votes")).otherwise(F.zip_with("votes", "more", lambda a, b: a + b))).drop("more")
         room = F.array(*[F.lit(int(x)) for x in free])
         # The fullest vote among the shards that can take the whole piece; ties by hash.
         options = F.transform(
@@ -55,13 +63,26 @@ def _settle(groups: DataFrame, capacity: list[int]) -> DataFrame:
                 fits.append((r["home"], r["bucket"], True))
         now = asked.join(F.broadcast(spark.createDataFrame(fits, "home int, bucket long, ok boolean")), ["home", "bucket"], "left")
         now = checkpointed(now)
-        settled.append(now.filter("ok").select("h1", "h2", "piece", "home"))
+        settled.append(now.filter("ok").select("h1", "h2", "piece", "home", "n"))
         left = now.filter("ok is null").drop("home", "bucket", "ok")
         turn += 1
-    out = settled[0] if settled else groups.select("h1", "h2", "piece", F.lit(0).alias("home")).limit(0)
+    out = settled[0] if settled else groups.select("h1", "h2", "piece", F.lit(0).alias("home"), "n").limit(0)
     for x in settled[1:]:
         out = out.unionByName(x)
-    return out
+    return out.drop("n")
+
+
+def cut_links(placed: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", shard: str = "shard") -> DataFrame:
+    """One row (links, cut): pairs of rows with equal texts, and those whose rows lie in unlike shards.
+
+    placed: (key, shard) of each row of docs; keys are unique. Pairs are counted from
+    group sizes, never made.
+    """
+    of = docs.filter(F.col(text).isNotNull()).select(key, F.xxhash64(F.lit(1), text).alias("h1"), F.xxhash64(F.lit(2), text).alias("h2"))
+    inside = of.join(placed.select(key, shard), key).groupBy("h1", "h2", shard).agg(F.count("*").alias("n"))
+    pairs = lambda n: n * (n - 1) / 2
+    each = inside.groupBy("h1", "h2").agg(pairs(F.sum("n")).alias("links"), F.sum(pairs(F.col("n"))).alias("kept"))
+    return each.agg(F.coalesce(F.sum("links"), F.lit(0)).cast("long").alias("links"), F.coalesce(F.sum(F.col("links") - F.col("kept")), F.lit(0)).cast("long").alias("cut"))
 
 
 def balanced_shards(docs: DataFrame, n_shards: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -47,3 +47,22 @@ def test_no_group_is_cut_while_a_shard_has_room(spark):
     for r in out:
         shards[of[r.doc_id]].add(r.shard)
     assert all(len(v) == 1 for v in shards.values())
+
+
+def test_cut_links_and_pieces_that_follow_each_other(spark):
+    rows = [(i, "hot") for i in range(900)] + [(1000 + i, f"alone {i}") for i in range(700)] + [(3000 + i, f"pair {i // 2}") for i in range(200)] + [(9000, "long " * 100_000), (9001, "long " * 100_000), (9002, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = sharding.balanced_shards(df)
+    found = out.collect()
+    check(rows, found)
+    links = sharding.cut_links(out, df).first()
+    of, inside, whole = dict(rows), Counter(), Counter(t for _, t in rows if t is not None)
+    for r in found:
+        if of[r.doc_id] is not None:
+            inside[of[r.doc_id], r.shard] += 1
+    pairs = lambda n: n * (n - 1) // 2
+    assert links.links == sum(map(pairs, whole.values())) and links.cut == links.links - sum(map(pairs, inside.values()))
+    # By hash alone seven of eight links are cut.
+    start = df.selectExpr("doc_id", "pmod(xxhash64(doc_id), 8) as shard")
+    assert links.cut < 0.95 * sharding.cut_links(start, df).first().cut
+    assert all(len({r.shard for r in found if of[r.doc_id] == t}) == 1 for t in ("long " * 100_000, "pair 3", "pair 77"))
