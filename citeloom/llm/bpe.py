@@ -43,7 +43,7 @@ def printable_bytes() -> dict[str, int]:
 class BytePairCodec:
     """Encoder and decoder of one vocabulary file (byte-level BPE, JSON)."""
 
-    def __init__(self, path: str, cache_size: int = 250_000, cache_bytes: int = 64):
+    def __init__(self, path: str, cache_size: int = 150_000, cache_bytes: int = 64):
         with open(ensure_path(path), encoding="utf-8") as f:
             spec = json.load(f)
         of = printable_bytes()
@@ -115,7 +115,7 @@ class BytePairCodec:
                 limit, a = ra, self.parts[a][1]
             else:
                 limit, b = rb + 1, self.parts[b][0]
-        if len(self.compatible) >= 150_000:
+        if len(self.compatible) >= 100_000:
             self.compatible.clear()
         self.compatible[key] = fits
         return fits

@@ -136,6 +136,7 @@ def _sketches(docs: DataFrame, key: str, text: str, k: int, rows: int, bands: in
             for n, name in enumerate((key, "keyless", "th")):
                 got.insert(n, name, pdf[name].to_numpy())
             yield got
+        _words.clear()  # idle workers hold no words
 
     kind = docs.schema[key].dataType.simpleString()
     # Null keys would turn a batch's keys into doubles.
@@ -292,6 +293,7 @@ def _grouped(docs: DataFrame, k: int, part: int, whole: int, key: str, text: str
             sets = [shingle_set(t, k) for t in pdf["text"]]
             on = np.array([_digest(x)[0] for x in sets], np.int64) == pdf["d1"].to_numpy()
             yield pd.DataFrame({"id": pdf["id"], "set": [x.tobytes() for x in sets]})[on]
+        _words.clear()
 
     sets = checkpointed(wanted.mapInPandas(to_sets, "id long, set binary"))
     least = threshold - slack(threshold, count)
