@@ -645,8 +645,7 @@ def _curve(s, d):
     """Whole tables, all fractions and draws; too many rows for SQL, so the tests hold pool_coverage against a brute-force version."""
     pool = EV.positives(B.qrels(s, d)).filter("setting = 'relaxed'").select(*CELL, "pmid")
     cells, pred = B.cells(s, d), B.predictions(s, d)
-    runs = [RS.pool_coverage(cells, pred.filter(F.col("run") == r), pool, RS.FRACTIONS, RS.ITERATIONS).withColumn("run", F.lit(r)) for r in ("a", "b")]
-    return runs[0].unionByName(runs[1])
+    return RS.pool_coverage(cells, pred, pool, RS.FRACTIONS, RS.ITERATIONS, runs=["a", "b"])
 
 
 @query("pool_coverage_curve")
