@@ -332,3 +332,50 @@ def test_command_lines(spark, tmp_path, capsys):
     assert main(["intersection", at("pool"), at("pool"), "--output", at("both")], spark)["human_after"] == 1
     assert main(["diff", at("s.json"), at("s.json"), at("q.jsonl"), at("d")], spark) == {"rows": 0}
     assert capsys.readouterr().out.count("\n") == 10
+
+
+def exchanges(df):
+    return df.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange ")  # of a plan not run yet
+
+
+def test_cells_are_dealt_once(spark):
+    r = random.Random(8)
+    cell = "qa_id string, sentence_id int, class string"
+    keys = [(f"{t}", n, c) for t in range(5) for n in range(3) for c in evaluation.CLASSES]
+    said = sorted({(r.choice("ab"), *r.choice(keys), f"d{r.randrange(4)}") for _ in range(90)})
+    asked = [("a", *k) for k in keys] + [("b", *k) for k in keys[:20]]
+    rows = [(*r.choice(keys), f"d{r.randrange(4)}", r.choice(["human", "llm"]), i) for i in range(80)]
+    rows = [(t, n, r.choice([c, f"partial_{c}"]), p, 1, s, i) for t, n, c, p, s, i in rows]
+    qrels = spark.createDataFrame(rows, f"{cell}, pmid string, relevance int, source string, ord int")
+    predictions, cells = spark.createDataFrame(said, f"run string, {cell}, pmid string"), spark.createDataFrame(asked * 2, f"run string, {cell}")
+    prf = evaluation.prf_cells(cells, predictions, evaluation.marked(qrels), ["qa_id", "sentence_id", "class"], run=["run"], deal=["qa_id"])
+    got = {(x.run, x.setting, x.qa_id, x.sentence_id, x["class"]): (x.n_pred, x.n_pos, x.tp) for x in prf.collect()}
+    want = {}
+    for run, *k in asked:
+        for setting in evaluation.SETTINGS:
+            p = {d for t, n, c, d, *_ in rows if [t, n, c.replace("partial_", "")] == k and (setting == "relaxed" or c in evaluation.CLASSES)}
+            q = {d for s, *x, d in said if s == run and x == k}
+            if p or q:
+                want[run, setting, *k] = (len(q), len(p), len(p & q))
+    assert got == want
+    topics = evaluation.per_topic(prf, ["run"])
+    assert exchanges(prf) == exchanges(topics) == exchanges(evaluation.run_delta(topics, "a", "b")) == 1
+    delta = {x.qa_id: x.delta for x in evaluation.run_delta(topics, "a", "b").collect()}
+    old = {x.qa_id: x.delta for x in evaluation.topic_delta(topics.filter("run = 'a'"), topics.filter("run = 'b'")).collect()}
+    assert delta == old and delta
+    official = {(t, n, c, p) for t, n, c, p in {x[:4] for x in rows if x[2] in evaluation.CLASSES} if max((x[6], x[5]) for x in rows if x[:4] == (t, n, c, p))[1] == "human"}
+    assert {tuple(x)[:4] for x in evaluation.marked_pools(qrels).filter("j = 3").collect()} == official
+
+
+def test_three_topics_from_one_reading(spark):
+    r = random.Random(9)
+    for n in (3, 4, 400):
+        rows = [(str(i), r.choice([-0.5, -0.25, 0.0, 0.25, 0.5]) if n > 4 else 0.25) for i in range(n)]
+        made = spark.createDataFrame(rows, "qa_id string, delta double").repartition(3)
+        p = min(rows, key=lambda x: (-x[1], int(x[0])))[0]
+        m = min(rows, key=lambda x: (x[1], int(x[0])))[0]
+        z = min((x for x in rows if x[0] not in (p, m)), key=lambda x: (abs(x[1]), int(x[0])))[0]
+        out = evaluation.select_three(made)
+        assert tuple(out.first()) == (p, z, m) and out._jdf.queryExecution().executedPlan().toString().count("RepartitionByNum") <= 1
+    with pytest.raises(Exception, match="at least 3 topics"):
+        evaluation.select_three(spark.createDataFrame([("1", 0.5), ("2", 0.1)], "qa_id string, delta double")).collect()
