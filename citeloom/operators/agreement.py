@@ -13,15 +13,18 @@ def confusion(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("gold", "pred").agg(F.count("*").alias("n"))
 
 
-def label_scores(pairs: DataFrame, labels: tuple[str, ...] = LABELS, by: list[str] | None = None) -> DataFrame:
-    """(by, label, precision, recall, f1, support) for each of the labels, zeros where it doesn't occur."""
+def label_scores(pairs: DataFrame, labels: tuple[str, ...] = LABELS, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """(by, label, precision, recall, f1, support) for each of the labels, zeros where it doesn't occur; a row counts `weight` times.
+
+    One aggregation, so that what makes the pairs is read once.
+    """
     by = by or []
-    counts = pairs.groupBy(*by, "gold", "pred").agg(F.count("*").alias("n"))
-    long = counts.select(*by, "n", F.explode(F.array(F.struct(F.col("gold").alias("label"), F.lit(1).alias("g"), F.lit(0).alias("p"), F.when(F.col("gold") == F.col("pred"), 1).otherwise(0).alias("t")), F.struct(F.col("pred").alias("label"), F.lit(0).alias("g"), F.lit(1).alias("p"), F.lit(0).alias("t")))).alias("x"))
-    sums = long.groupBy(*by, "x.label").agg(F.sum(F.col("n") * F.col("x.g")).alias("support"), F.sum(F.col("n") * F.col("x.p")).alias("predicted"), F.sum(F.col("n") * F.col("x.t")).alias("tp"))
-    every = counts.select(*by).distinct() if by else counts.agg(F.count("*").alias("_n"))
-    every = every.select(*by, F.explode(F.array(*map(F.lit, labels))).alias("label"))
-    out = every.join(sums, [*by, "label"], "left").fillna(0, ["support", "predicted", "tp"])
+    n = F.lit(1).cast("long") if weight is None else F.col(weight)
+    each = []
+    for label in labels:
+        gold, pred = (F.coalesce(F.col(c) == label, F.lit(False)) for c in ("gold", "pred"))
+        each.append(F.struct(F.lit(label).alias("label"), *[F.coalesce(F.sum(F.when(on, n)), F.lit(0).cast("long")).alias(c) for c, on in (("support", gold), ("predicted", pred), ("tp", gold & pred))]))
+    out = pairs.groupBy(*by).agg(F.array(*each).alias("x")).select(*by, F.explode("x").alias("x")).select(*by, "x.*")
     ratio = lambda d: F.when(F.col(d) > 0, F.col("tp") / F.col(d)).otherwise(F.lit(0.0))
     f1 = F.when(F.col("tp") > 0, 2.0 * F.col("tp") / (F.col("support") + F.col("predicted"))).otherwise(F.lit(0.0))
     return out.select(*by, "label", ratio("predicted").alias("precision"), ratio("support").alias("recall"), f1.alias("f1"), "support")

@@ -379,3 +379,28 @@ def test_three_topics_from_one_reading(spark):
         assert tuple(out.first()) == (p, z, m) and out._jdf.queryExecution().executedPlan().toString().count("RepartitionByNum") <= 1
     with pytest.raises(Exception, match="at least 3 topics"):
         evaluation.select_three(spark.createDataFrame([("1", 0.5), ("2", 0.1)], "qa_id string, delta double")).collect()
+
+
+def test_draws_stay_where_they_are(spark):
+    import hashlib
+
+    r = random.Random(10)
+    rows = [(i, r.random(), r.choice(["Supports", "Neutral"]), r.choice(["Supports", "Contradicts"])) for i in range(700)]
+    made = spark.createDataFrame(rows, "id long, v double, gold string, pred string").repartition(3)
+    at = lambda it: [int(hashlib.md5(f"4|{it}|{d}".encode()).hexdigest()[:12], 16) % 700 for d in range(700)]
+    for pack, most in ((1 << 16, 1 << 22), (64, 1 << 22), (64, 10)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(resample, "PACK", pack)
+            m.setattr(resample, "MOST_SENT", most)
+            means = resample.bootstrap_mean(made, "v", ["id"], 5, 4)
+            assert {x.it: x["mean"] for x in means.collect()} == {it: pytest.approx(sum(rows[i][1] for i in at(it)) / 700) for it in range(5)}
+            got = {x.it: x.weighted_f1 for x in resample.bootstrap_weighted_f1(made, ["id"], 5, 4).collect()}
+        for it in range(5):
+            some = [rows[i] for i in at(it)]
+            f1 = {}
+            for label in ("Supports", "Contradicts", "Neutral"):
+                g, p, t = (sum(f(x) for x in some) for f in (lambda x, k=label: x[2] == k, lambda x, k=label: x[3] == k, lambda x, k=label: x[2] == x[3] == k))
+                f1[label] = g * (2 * t / (g + p) if t else 0) / 700
+            assert got[it] == pytest.approx(sum(f1.values()))
+    sized = resample.draws(1_000_000, 1000, spark)  # Spark knows that these are too many to broadcast
+    assert int(sized._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > 1 << 30
