@@ -21,6 +21,8 @@ from citeloom.operators.storage import kept_table
 
 K1, B = 0.9, 0.4
 DIGITS = 9
+#: Scores that a task looks through at once, and hits after which it keeps the best of them.
+MOST_SCORES, MOST_FOUND = 1 << 18, 1 << 18
 
 
 def ranked(df: DataFrame, by: list[str], score: str, key: str | list[str], k: int | None, rank: str = "rank") -> DataFrame:
@@ -107,8 +109,8 @@ def bm25(weighted: DataFrame, docs: DataFrame, by: list[str], k: int, key: str =
         def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros(len(vocabulary), np.int64)
             for pdf in batches:
-                if len(pdf):
-                    total += np.bincount(hits(pdf)[2], minlength=len(vocabulary))
+                for lo in range(0, len(pdf), 256):
+                    total += np.bincount(hits(pdf.iloc[lo : lo + 256])[2], minlength=len(vocabulary))
             on = np.flatnonzero(total)
             yield pd.DataFrame({"t": on, "df": total[on]})
 
@@ -130,7 +132,7 @@ def bm25(weighted: DataFrame, docs: DataFrame, by: list[str], k: int, key: str =
                     s = matrix @ part
                     q, j = np.nonzero((s > 0) & (np.round(s, DIGITS) >= thresholds[:, None]))
                     found.append((q, some["pmid"].to_numpy()[j], s[q, j]))
-                    if len(found) > 16:
+                    if len(found) > 16 or sum(len(x[0]) for x in found) > MOST_FOUND:
                         found = _best(thresholds, found, k)
             if found:
                 q, p, s = _best(thresholds, found, k)[0]
@@ -153,7 +155,7 @@ def rm1_terms(accepted: DataFrame, vectors: DataFrame, by: list[str], n: int = 1
     return ranked(weights, by, "w", "term", n, "term_rank")
 
 
-def _vectors_of(first: DataFrame, docs: DataFrame, key: str = "pmid", text: str = "contents") -> DataFrame:
+def vectors_of(first: DataFrame, docs: DataFrame, key: str = "pmid", text: str = "contents") -> DataFrame:
     """Term vectors of the documents that a ranking names, and of no others."""
     return postings(docs.join(first.select(F.col("pmid").alias(key)).distinct(), key, "left_semi"), key, text)
 
@@ -161,7 +163,7 @@ def _vectors_of(first: DataFrame, docs: DataFrame, key: str = "pmid", text: str
 def rm3(weighted: DataFrame, docs: DataFrame, by: list[str], k: int, fb_docs: int = 10, fb_terms: int = 10, original: float = 0.5, **cols) -> DataFrame:
     """BM25 over the query mixed with feedback terms of its first fb_docs documents."""
     first = bm25(weighted, docs, by, fb_docs, **cols)
-    fb = rm1_terms(first, _vectors_of(first, docs, **cols), by, fb_terms)
+    fb = rm1_terms(first, vectors_of(first, docs, **cols), by, fb_terms)
     fb = fb.withColumn("share", F.col("w") / F.sum("w").over(W.partitionBy(*by)))
     q = weighted.withColumn("share", F.col("weight") / F.sum("weight").over(W.partitionBy(*by)))
     mixed = q.select(*by, "term", (F.col("share") * original).alias("weight")).unionByName(fb.select(*by, "term", (F.col("share") * (1 - original)).alias("weight")))
@@ -179,7 +181,7 @@ def filtered_feedback(queries: DataFrame, relevant: DataFrame, docs: DataFrame,
     accepted = relevant(first) if callable(relevant) else relevant
     accepted = first.join(accepted.select(*by, "pmid").distinct(), [*by, "pmid"], "left_semi")
     own = queries.select(*by, F.explode(F.split(F.lower(text), r"\s+")).alias("term"))
-    more = rm1_terms(accepted, _vectors_of(accepted, docs, **cols), by, n, own)
+    more = rm1_terms(accepted, vectors_of(accepted, docs, **cols), by, n, own)
     more = more.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("term_rank", "term"))), lambda x: x["term"]).alias("more"))
     had = queries.join(first.select(*by).distinct(), by, "left_semi").join(more, by, "left")
     grown = had.withColumn(text, T.expand_query(F.col(text), F.coalesce("more", F.array().cast("array<string>"))))
@@ -234,14 +236,17 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, by: list[str], k: int, ke
         def score(batches: Iterator[pd.DataFrame], names=names, matrix=matrix) -> Iterator[pd.DataFrame]:
             thresholds, found = np.full(len(names), -np.inf), []
             for pdf in batches:
-                for lo in range(0, len(pdf), 1024):
-                    some = pdf.iloc[lo : lo + 1024]
-                    s = matrix @ np.stack(some["vector"].to_list()).astype(float).T
-                    a, j = np.nonzero(np.round(s, DIGITS) >= thresholds[:, None])
-                    found.append((a, some[key].to_numpy()[j], s[a, j]))
-                    found = _best(thresholds, found, k)
+                for lo in range(0, len(pdf), 256):
+                    some = pdf.iloc[lo : lo + 256]
+                    x = np.stack(some["vector"].to_list()).astype(float).T
+                    for at in range(0, len(matrix), step := max(1, MOST_SCORES // len(some))):
+                        s = matrix[at : at + step] @ x
+                        a, j = np.nonzero(np.round(s, DIGITS) >= thresholds[at : at + step, None])
+                        found.append((a + at, some[key].to_numpy()[j], s[a, j]))
+                        if sum(len(y[0]) for y in found) > MOST_FOUND + 2 * k * len(names):
+                            found = _best(thresholds, found, k)
             if found:
-                a, p, s = found[0]
+                a, p, s = _best(thresholds, found, k)[0]
                 yield names.iloc[a].reset_index(drop=True).assign(**{key: p, "score": s})
 
         out = out.unionByName(v.mapInPandas(score, out.schema))
