@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from citeloom.functions import text as T
+from citeloom.operators.storage import kept_table
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -26,35 +33,46 @@ def queries(spark, d) -> DataFrame:
 
 
 def relevant(spark, d) -> DataFrame:
-    """(qa_id, pmid): documents that hold a benchmark text as a run of words."""
+    """(qa_id, pmid): documents that hold a benchmark text as a run of words; a table that is written once a session."""
     b = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("qa_id"), F.col("text").alias("passage"))
-    return passages_held(corpus(spark, d), b)
+    which = hashlib.sha256("\n".join(sorted(b.inputFiles())).encode()).hexdigest()[:16]
+    return kept_table(corpus(spark, d), f"held-{which}", lambda docs: passages_held(docs, b))
+
+
+#: White space as the JVM's \s has it.
+SPACE = re.compile("[ \t\n\x0b\f\r]+")
 
 
 def passages_held(docs: DataFrame, passages: DataFrame, k: int = 5) -> DataFrame:
     """(qa_id, pmid) of documents (pmid, contents) that hold a passage (qa_id, passage) whole, white space aside.
 
-    A passage's first k words (all of a shorter one) are its key; documents are
-    joined by the windows of those lengths, and the whole passage is then looked for.
+    Passages, a stated set, go to every task by their first k words (all of a
+    shorter one). A task looks its documents' words up there and then for the whole
+    passage, so that no text and no window of words is dealt.
     """
-    words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
-    p = passages.select("qa_id", words(F.col("passage")).alias("p")).filter(F.element_at("p", 1) != "")
-    p = p.select("qa_id", F.least(F.size("p"), F.lit(k)).alias("n"), "p").select("qa_id", "n", F.xxhash64(F.slice("p", 1, F.col("n"))).alias("h"), F.concat(F.lit(" "), F.array_join("p", " "), F.lit(" ")).alias("p"))
-    lengths = sorted(r["n"] for r in p.select("n").distinct().collect())  # k values at most
-    w = docs.select("pmid", words(F.col("contents")).alias("w"))
-
-    def windows(n: int) -> DataFrame:
-        at = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
-        return w.select("pmid", F.lit(n).alias("n"), F.explode(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice("w", i, n))))).alias("h"))
-
-    found = None
-    for n in lengths:
-        met = windows(n).join(p.select("qa_id", "n", "h"), ["n", "h"]).select("qa_id", "pmid")
-        found = met if found is None else found.unionByName(met)
-    if found is None:
-        return docs.select(F.lit(None).cast("string").alias("qa_id"), "pmid").limit(0)
-    texts = w.select("pmid", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("t"))
-    return found.distinct().join(p.select("qa_id", "p"), "qa_id").join(texts, "pmid").filter(F.contains("t", "p")).select("qa_id", "pmid").distinct()
+    keyed, firsts = {}, set()
+    for r in passages.select("qa_id", "passage").collect():
+        p = SPACE.sub(" ", r["passage"] or "").strip(" ").split(" ")
+        if p[0]:
+            keyed.setdefault(tuple(p[:k]), []).append((r["qa_id"], f" {' '.join(p)} "))
+            firsts.add(p[0])
+    lengths = sorted({len(key) for key in keyed})
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for pmid, text in zip(pdf["pmid"], pdf["contents"], strict=True):
+                w = [] if text is None else SPACE.sub(" ", text).strip(" ").split(" ")
+                if firsts.isdisjoint(w):
+                    continue
+                met = {key for i, x in enumerate(w) if x in firsts for n in lengths if (key := tuple(w[i : i + n])) in keyed}
+                if met:
+                    t = f" {' '.join(w)} "
+                    out += {(q, pmid) for key in met for q, p in keyed[key] if p in t}
+            yield pd.DataFrame(out, columns=["qa_id", "pmid"])
+
+    named = [passages.schema["qa_id"], docs.schema["pmid"]]
+    return docs.select("pmid", "contents").mapInPandas(look, StructType(named)).distinct()
 
 
 def vectors(spark, d) -> DataFrame:

@@ -207,7 +207,8 @@ fb AS (SELECT *, row_number() OVER (PARTITION BY qa_id ORDER BY round(w, 9) DESC
 
 @query("rm1_terms", f"WITH {S_POST}, {S_REL}, {S_RM1.format('rel', '')} SELECT qa_id, term, round(w, 6) AS w, term_rank::INT AS term_rank FROM fb")
 def _(s, d):
-    return rounded(RT.rm1_terms(B.relevant(s, d), RT.postings(B.corpus(s, d)), TOPIC))
+    rel = B.relevant(s, d)
+    return rounded(RT.rm1_terms(rel, RT.vectors_of(rel, B.corpus(s, d)), TOPIC))
 
 
 @query("rm3_expanded_topk", f"""{S_BASE}, {s_bm25('first', 'qt', 'qa_id', 10)}, {S_RM1.format('first', '')},

@@ -404,3 +404,21 @@ def test_draws_stay_where_they_are(spark):
             assert got[it] == pytest.approx(sum(f1.values()))
     sized = resample.draws(1_000_000, 1000, spark)  # Spark knows that these are too many to broadcast
     assert int(sized._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > 1 << 30
+
+
+def test_passages_and_slabs_stay_in_tasks(spark):
+    docs = spark.createDataFrame([(f"d{i}", f"x{i} one two three four five six y") for i in range(20)] + [("z", "one two three four five seven six")], "pmid string, contents string")
+    texts = spark.createDataFrame([("a", "one two three\tfour five six"), ("b", "two  three"), ("c", "four six"), ("d", None)], "qa_id string, passage string")
+    got = bindings.passages_held(docs, texts)
+    assert {tuple(r) for r in got.collect()} == {(q, f"d{i}") for q in "ab" for i in range(20)} | {("b", "z")}
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    x = np.random.default_rng(2).integers(-2, 3, (300, 3)).astype(float) + 0.1  # many ties
+    v = spark.createDataFrame([(i, [float(e) for e in row]) for i, row in enumerate(x)], "pmid long, vector array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(retrieval, "MOST_SCORES", 600)
+        m.setattr(retrieval, "MOST_FOUND", 50)
+        rows = retrieval.dense_topk(v.filter("pmid < 40").withColumnRenamed("pmid", "qa_id"), v.repartition(2), ["qa_id"], 5).collect()
+    for q in range(40):
+        want = sorted(range(300), key=lambda i: (-round(float(u[q] @ u[i]), 9), i))[:5]
+        assert [r.pmid for r in sorted((r for r in rows if r.qa_id == q), key=lambda r: r["rank"])] == want
