@@ -422,3 +422,16 @@ def test_passages_and_slabs_stay_in_tasks(spark):
     for q in range(40):
         want = sorted(range(300), key=lambda i: (-round(float(u[q] @ u[i]), 9), i))[:5]
         assert [r.pmid for r in sorted((r for r in rows if r.qa_id == q), key=lambda r: r["rank"])] == want
+
+
+def test_pool_is_not_repeated(spark):
+    rows = [(f"t{i % 9}", i % 3, "support", f"d{i}") for i in range(400)]
+    pool = spark.createDataFrame(rows, "qa_id string, sentence_id int, class string, pmid string")
+    named = pool.withColumn("name", F.concat_ws("|", "qa_id", "sentence_id", "class", "pmid"))
+    key = ["qa_id", "sentence_id", "class", "pmid"]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(resample, "SIGMAS", 0.01)  # windows that miss are widened
+        got = resample._last_rows(named, key, 400, [20, 200], 3, 5)
+    for it in range(3):
+        order = sorted((int(__import__("hashlib").md5("|".join(map(str, (5, it, *r))).encode()).hexdigest()[:12], 16), *r) for r in rows)
+        assert got[it, 20] == order[19] and got[it, 200] == order[199]
